@@ -88,8 +88,11 @@ def _slices(slice_ms: int) -> Column:
 
 
 def _clip(df: DataFrame, keys: Sequence[str], slice_ms: int) -> DataFrame:
-    """Cut intervals ``(s, e)`` at slice bounds, so that covered time adds up over slices."""
-    cut = df.select(*keys, "s", "e", F.explode(_slices(slice_ms)).alias("slice"))
+    """Cut intervals ``(s, e)`` at slice bounds, so that covered time adds up over slices.
+
+    Rows without an interval stay, in no slice; they carry totals once.
+    """
+    cut = df.select(*keys, "s", "e", F.explode_outer(_slices(slice_ms)).alias("slice"))
     low, high = F.col("slice") * slice_ms, (F.col("slice") + 1) * slice_ms
     return cut.select(*keys, "slice", F.greatest(F.col("s"), low).alias("s"), F.least(F.col("e"), high).alias("e"))
 
@@ -141,18 +144,18 @@ def span_summary(df: DataFrame, entity: str, labels: Sequence[str], start: str,
     light = light.select("kind", "key", "n_rows", "first_start", "last_end",
                          I.covered_length(F.col("s0"), F.col("e0")).alias("covered_ms"))
 
-    hot = again.where("_heavy")
-    totals = hot.groupBy("kind", "key").agg(
-        F.sum("n").alias("n_rows"), F.min("lo").alias("first_start"), F.max("hi").alias("last_end"),
-        F.lit(0).cast("long").alias("covered_ms"))
-    parts = hot.select("kind", "key", F.inline(F.arrays_zip(F.col("ss").alias("s"), F.col("es").alias("e"))))
-    slices = _clip(parts.toDF("kind", "key", "s", "e"), ["kind", "key"], slice_ms).groupBy("kind", "key", "slice").agg(
+    # Totals and intervals travel together, so that the first round's shuffle is read by both branches alike.
+    none = F.lit(None).cast("long")
+    intervals = F.transform(F.arrays_zip(F.col("ss").alias("s"), F.col("es").alias("e")), lambda x: F.struct(
+        F.lit(0).cast("long").alias("n"), none.alias("lo"), none.alias("hi"), x["s"].alias("s"), x["e"].alias("e")))
+    whole = F.array(F.struct("n", "lo", "hi", none.alias("s"), none.alias("e")))
+    parts = again.where("_heavy").select("kind", "key", F.inline(F.concat(whole, intervals)))
+    slices = _clip(parts, ["kind", "key", "n", "lo", "hi"], slice_ms).groupBy("kind", "key", "slice").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         I.sorted_bounds(F.col("s")).alias("s0"), I.sorted_bounds(F.col("e")).alias("e0"))
-    covered = slices.select("kind", "key", F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("first_start"),
-                            F.lit(None).cast("long").alias("last_end"), I.covered_length(F.col("s0"), F.col("e0")).alias("covered_ms"))
-    hot_rows = totals.unionByName(covered).groupBy("kind", "key").agg(
-        F.sum("n_rows").alias("n_rows"), F.min("first_start").alias("first_start"),
-        F.max("last_end").alias("last_end"), F.sum("covered_ms").alias("covered_ms"))
+    hot_rows = slices.groupBy("kind", "key").agg(
+        F.sum("n").alias("n_rows"), F.min("lo").alias("first_start"), F.max("hi").alias("last_end"),
+        F.sum(I.covered_length(F.col("s0"), F.col("e0"))).alias("covered_ms"))
     both = light.unionByName(hot_rows)
     return both.select(F.col("kind").alias("key_kind"), F.col("key").alias("key_value"), "n_rows", "first_start",
                        "last_end", "covered_ms")
