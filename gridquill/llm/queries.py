@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import MINT, SERIES, label
+from ..session import cut_lineage
 from ..sources.tables import table
-from . import bitmaps, frequent
+from . import bitmaps, frequent, leakage, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,4 +46,24 @@ def p2_distinct_counts_md5(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id_kind", "level", F.col("day").cast("string").alias("day"), "namespace", "job", "n_distinct")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_frequent_values, p2_distinct_counts, p2_distinct_counts_md5)}
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_report(spark, d).select("doc_id", "item_id")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    plan = mixing.plan_mixture(mixing.token_counts(documents), table(spark, d, "mix_targets"))
+    return mixing.mix(documents, plan)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    counts = cut_lineage(mixing.token_counts(table(spark, d, "documents")))
+    return mixing.reached_shares(counts, mixing.plan_mixture(counts, table(spark, d, "mix_targets")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_frequent_values, p2_distinct_counts, p2_distinct_counts_md5,
+                                                  p8_found, p8_report, p9_mix, p9_shares)}
