@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import MINT, SERIES, label
 from ..session import cut_lineage
 from ..sources.tables import table
-from . import bitmaps, frequent, leakage, mixing
+from . import bitmaps, encoding, frequent, leakage, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,5 +65,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(counts, mixing.plan_mixture(counts, table(spark, d, "mix_targets")))
 
 
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_restored(spark, d).select("doc_id")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_frequent_values, p2_distinct_counts, p2_distinct_counts_md5,
-                                                  p8_found, p8_report, p9_mix, p9_shares)}
+                                                  p8_found, p8_report, p9_mix, p9_shares,
+                                                  p10_found, p10_restored)}
