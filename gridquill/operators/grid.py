@@ -62,7 +62,7 @@ def regular_grid(chunks: DataFrame, series: DataFrame | None = None, slot_ms: in
     # What covers the cell before its own readings, or all of an empty one.
     source = F.when(own, F.col("prior")).otherwise(F.col("last"))
     lead_in = F.greatest(F.least(source["t"] + F.col("age"), F.when(own, first_t).otherwise(stop)) - F.col("g"), F.lit(0))
-    lead_ms = F.coalesce(lead_in, F.lit(0)).cast("long")
+    lead_ms = F.when(source.isNotNull(), lead_in).otherwise(F.lit(0)).cast("long")  # least() skips nulls
     lengths = F.transform("p", lambda x, i: until(x, F.coalesce(F.get("p", i + 1)["t"], stop)) - x["t"])
     zero = F.lit(0).cast("long")
     own_ms = F.when(own, F.aggregate(lengths, zero, lambda a, x: a + x)).otherwise(zero)
