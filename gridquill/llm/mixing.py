@@ -130,13 +130,15 @@ def mix(documents: DataFrame, plan: Sequence[Share], seed: int = SEED) -> DataFr
 
     Columns of ``documents`` stay as they are, ``source`` in its common
     spelling; records without a source or of an untargeted one are left out.
+    A ``copy_no`` that is there already is replaced.
     No shuffle: a source that holds most rows costs nothing extra.
     """
     keyed = documents.withColumn("source", source_key(F.col("source")))
+    rest = [F.col(f"`{c}`") for c in keyed.columns if c != "copy_no"]
     times = copies(plan, F.col("source"), F.col("doc_id"), seed)
-    rest = [c for c in keyed.columns if c != "copy_no"]
-    return keyed.select(*[F.col(f"`{c}`") for c in rest], times.alias("_times")).where("_times > 0").select(
-        *[F.col(f"`{c}`") for c in rest], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy_no"))
+    # no copies, no row: the sequence of a record that is not used is empty
+    numbers = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    return keyed.select(*rest, F.explode(numbers).alias("copy_no"))
 
 
 def reached_shares(counts: DataFrame, plan: Sequence[Share], seed: int = SEED) -> DataFrame:
