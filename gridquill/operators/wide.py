@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse
+from ..session import cut_lineage
 
 #: The catalogue is held by every task; more names than this are refused.
 CATALOG_BOUND = 10_000
@@ -111,7 +112,8 @@ def wide_table(rows: DataFrame, catalog: DataFrame, entity: str = "series_id", r
 
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    registers = cells.rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4]))).combineByKey(
+    # parsed once and kept in the shared folder: the RDD stages can be retried from there
+    registers = cut_lineage(cells).rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4]))).combineByKey(
         create, merge_cell, merge_registers, numPartitions=partitions)
     kinds = [t for _, _, t in entries]
 
