@@ -73,7 +73,7 @@ PHRASES = (
 
 # Code marks: fenced and inline spans, and code or pre elements.
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|samp|kbd|tt)\b[^>]*>.*?(?:</\1\s*>|\Z)|(`+)(?!`).+?(?<!`)\2(?!`)", re.S | re.I)
-_TOKEN = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
+_TOKEN = re.compile(r"[^ \t\r\n\f\v]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _MIXED = re.compile("[A-Za-z\u00c0-\u017f][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u017f]")
 # Typographic spaces and invisible characters are no evidence where nothing else beyond ASCII is about.
@@ -82,8 +82,7 @@ _BLANK = re.compile("[\u00a0\u00ad\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3
 
 def tokens_of(line: str) -> list[str]:
     """Words with letters or signs beyond ASCII."""
-    found = _TOKEN.findall(line)
-    return [t for t in found if not _BLANK.sub("", t).isascii()]
+    return [t for t in _TOKEN.findall(line) if not t.isascii() and not _BLANK.sub("", t).isascii()]
 
 
 
@@ -338,7 +337,7 @@ class Detector:
             if chain is None and main is not None and main.startswith("utf8") and not line.isascii():
                 chain = main  # code inside a garbled text went the same way
             if chain is not None:
-                line = _TOKEN.sub(lambda m: self.restore_token(m.group(), chain) or m.group(), line)
+                line = _TOKEN.sub(lambda m: m.group() if m.group().isascii() else self.restore_token(m.group(), chain) or m.group(), line)
                 open_runs = open_runs or not self.readable(_BLANK.sub("", line)) or self.chain_of_line(line) is not None
             restored.append(line)
         if lost:

@@ -102,11 +102,11 @@ class Compiled:
         tokens = words(text)
         get = self.vocabulary.get
         sequence = tuple([get(w, 0) for w, _, _ in tokens])
-        if self.empty or not any(sequence):
+        if not self.ids or not any(sequence):
             return []
         found: dict[int, tuple[str, int, int, int]] = {}
         answers: set[int] = set()
-        for end, (length, grams, spoken) in self.automaton.iter(sequence):
+        for end, (length, grams, spoken) in () if self.empty else self.automaton.iter(sequence):
             for k in grams:
                 if k not in found:
                     found[k] = ("verbatim", end - length + 1, end, length)
