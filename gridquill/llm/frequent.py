@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -125,11 +126,11 @@ def frequent_values(df: DataFrame, columns: Sequence[str], min_share: float = MI
     so the heap loses none.  A hot value reaches its range once per run.
     """
     total = df.count()
-    keep = math.ceil(1 / min_share)
+    keep = math.ceil(1 / Fraction(str(min_share)))
     texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
     runs = texts.mapInArrow(_runs(list(columns), run_rows), _RUN)
     ranged = runs.repartitionByRange("label_name", "label_value").sortWithinPartitions("label_name", "label_value")
     tops = ranged.mapInArrow(_merge(keep), _RUN)
-    # the edge is compared in whole rows: n >= share * total
-    return tops.where(F.col("n") >= F.lit(min_share * total)).select(
+    least = math.ceil(Fraction(str(min_share)) * total)  # whole rows, so that no rounding moves the edge
+    return tops.where(F.col("n") >= max(least, 1)).select(
         "label_name", "label_value", F.col("n").alias("n_rows"), (F.col("n") / F.lit(float(max(total, 1)))).alias("share"))
