@@ -20,7 +20,7 @@ _SERIES_IN_RANGE = f"""
  FROM chunk_index WHERE __mint >= {_LO} AND __maxt <= {END}"""
 
 SPANS = """
- WITH c AS (SELECT k.__series__id AS series_id, __mint AS s, __maxt AS e, greatest(coalesce(scrape_ms, 0), 0) AS tol
+ WITH c AS (SELECT DISTINCT k.__series__id AS series_id, __mint AS s, __maxt AS e, greatest(coalesce(scrape_ms, 0), 0) AS tol
             FROM chunks k LEFT JOIN series x ON k.__series__id = x.__series__id
             WHERE __mint IS NOT NULL AND __maxt IS NOT NULL AND __mint <= __maxt),
  r AS (SELECT *, max(e) OVER (PARTITION BY series_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM c),
