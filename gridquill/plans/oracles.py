@@ -38,6 +38,66 @@ READINGS = r"""
         FROM r0 WHERE regexp_full_match(pair, '[0-9]+:[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')),
  readings AS (SELECT series_id, a + o AS t, v FROM r1 WHERE o IS NOT NULL AND o <= z - a AND isfinite(v))"""
 
+_PART_COLUMNS = r"""
+ WITH o AS (SELECT writer_id, part_no, CAST(record AS JSON) AS j FROM part_rows WHERE part_no IS NOT NULL AND json_valid(record) AND json_type(record) = 'OBJECT'),
+ k AS (SELECT writer_id, part_no, CAST(j->>'$.__series__id' AS BIGINT) AS sid, j, unnest(json_keys(j)) AS label FROM o),
+ c AS (SELECT writer_id, part_no, sid, label, json_type(j, '/' || replace(replace(label, '~', '~0'), '/', '~1')) AS t,
+        json_extract_string(j, '/' || replace(replace(label, '~', '~0'), '/', '~1')) AS v
+       FROM k WHERE label NOT IN ('__series__id', '__mint', '__maxt', '__name__')),
+ cells AS (SELECT writer_id, part_no, sid, label, CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'decimal'
+        WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'NULL' OR v = '' THEN NULL ELSE 'string' END AS kind,
+        coalesce(CAST(try_cast(v AS DOUBLE) AS VARCHAR), lower(trim(v))) AS value FROM c),
+ typed AS (SELECT writer_id, part_no, label, count(*) FILTER (kind = 'string') AS a, count(*) FILTER (kind = 'decimal') AS b,
+        count(*) FILTER (kind = 'boolean') AS d, count(*) FILTER (kind = 'integer') AS e FROM cells GROUP BY ALL),
+ cols AS (SELECT writer_id, part_no, label, CASE greatest(a, b, d, e) WHEN 0 THEN NULL WHEN a THEN 'string' WHEN b THEN 'decimal'
+        WHEN d THEN 'boolean' ELSE 'integer' END AS kind FROM typed),
+ parts AS (SELECT writer_id, part_no, lag(part_no) OVER (PARTITION BY writer_id ORDER BY part_no) AS previous
+        FROM (SELECT DISTINCT writer_id, part_no FROM part_rows WHERE part_no IS NOT NULL))"""
+
+_CHANGES = _PART_COLUMNS + r""",
+ links AS (SELECT * FROM parts WHERE previous IS NOT NULL),
+ now AS (SELECT l.writer_id, l.part_no, l.previous, label, kind FROM links l JOIN cols USING (writer_id, part_no)),
+ was AS (SELECT l.writer_id, l.part_no, l.previous, label, kind FROM links l JOIN cols c ON c.writer_id = l.writer_id AND c.part_no = l.previous),
+ came AS (SELECT * FROM now ANTI JOIN was USING (writer_id, part_no, label)),
+ gone AS (SELECT * FROM was ANTI JOIN now USING (writer_id, part_no, label)),
+ votes AS (SELECT writer_id, part_no, label, sid, value, count(*) AS n FROM cells WHERE kind IS NOT NULL AND sid IS NOT NULL GROUP BY ALL),
+ mode AS (SELECT writer_id, part_no, label, sid, arg_max(value, (n, value)) AS value FROM votes GROUP BY ALL),
+ present AS (SELECT DISTINCT writer_id, part_no, sid FROM cells),
+ old AS (SELECT g.writer_id, g.part_no, g.label, m.sid, m.value FROM gone g JOIN mode m ON m.writer_id = g.writer_id AND m.part_no = g.previous AND m.label = g.label
+        SEMI JOIN present p ON p.writer_id = g.writer_id AND p.part_no = g.part_no AND p.sid = m.sid),
+ new AS (SELECT g.writer_id, g.part_no, g.label, m.sid, m.value FROM came g JOIN mode m ON m.writer_id = g.writer_id AND m.part_no = g.part_no AND m.label = g.label
+        SEMI JOIN present p ON p.writer_id = g.writer_id AND p.part_no = g.previous AND p.sid = m.sid),
+ agreed AS (SELECT o.writer_id, o.part_no, o.label AS ol, n.label AS nl, count(*) AS m FROM old o JOIN new n USING (writer_id, part_no, sid, value) GROUP BY ALL),
+ scored AS (SELECT a.*, a.m / least(x.n, y.n) AS score, x.n AS xn, y.n AS yn FROM agreed a
+        JOIN (SELECT writer_id, part_no, label, count(*) AS n FROM old GROUP BY ALL) x ON (x.writer_id, x.part_no, x.label) = (a.writer_id, a.part_no, a.ol)
+        JOIN (SELECT writer_id, part_no, label, count(*) AS n FROM new GROUP BY ALL) y ON (y.writer_id, y.part_no, y.label) = (a.writer_id, a.part_no, a.nl)),
+ pairs AS (SELECT writer_id, part_no, ol, nl FROM (SELECT *, row_number() OVER (PARTITION BY writer_id, part_no, ol ORDER BY score DESC, m DESC, xn DESC, yn DESC, nl) AS ro,
+        row_number() OVER (PARTITION BY writer_id, part_no, nl ORDER BY score DESC, m DESC, xn DESC, yn DESC, ol) AS rn FROM scored WHERE score >= 0.75) WHERE ro = 1 AND rn = 1)
+ SELECT writer_id, part_no, 'added' AS change_kind, '' AS old_label, label AS new_label FROM came c
+   ANTI JOIN pairs p ON p.writer_id = c.writer_id AND p.part_no = c.part_no AND p.nl = c.label
+ UNION ALL SELECT writer_id, part_no, 'removed', label, '' FROM gone c ANTI JOIN pairs p ON p.writer_id = c.writer_id AND p.part_no = c.part_no AND p.ol = c.label
+ UNION ALL SELECT writer_id, part_no, 'renamed', ol, nl FROM pairs
+ UNION ALL SELECT p.writer_id, p.part_no, 'retyped', ol, nl FROM pairs p JOIN gone g ON (g.writer_id, g.part_no, g.label) = (p.writer_id, p.part_no, p.ol)
+   JOIN came c ON (c.writer_id, c.part_no, c.label) = (p.writer_id, p.part_no, p.nl) WHERE g.kind <> c.kind
+ UNION ALL SELECT n.writer_id, n.part_no, 'retyped', n.label, n.label FROM now n JOIN was w ON (w.writer_id, w.part_no, w.label) = (n.writer_id, n.part_no, n.label) WHERE n.kind <> w.kind"""
+
+_VERSIONS = _PART_COLUMNS + r""",
+ listed AS (SELECT writer_id, part_no, label || ':' || coalesce(kind, '?') AS x FROM cols),
+ per AS (SELECT writer_id, part_no, count(*) AS n_labels, string_agg(x, ',' ORDER BY x) AS l FROM listed GROUP BY ALL),
+ f AS (SELECT p.writer_id, p.part_no, coalesce(n_labels, 0) AS n_labels, sha256(coalesce(l, '')) AS fingerprint
+       FROM parts p LEFT JOIN per q ON p.writer_id = q.writer_id AND p.part_no = q.part_no),
+ m AS (SELECT *, CASE WHEN lag(fingerprint) OVER (PARTITION BY writer_id ORDER BY part_no) IS NOT DISTINCT FROM fingerprint THEN 0 ELSE 1 END AS n FROM f)
+ SELECT writer_id, part_no, n_labels, fingerprint, sum(n) OVER (PARTITION BY writer_id ORDER BY part_no) AS version FROM m"""
+
+_SLOTS = READINGS + """,
+ d AS (SELECT DISTINCT r.series_id, t, CAST(ceil(3.0 * coalesce(scrape_ms, 60000)) AS BIGINT) AS age FROM readings r LEFT JOIN series x ON x.__series__id = r.series_id),
+ o AS (SELECT series_id, min(t - t % 60000) AS a, max(t - t % 60000) + 60000 AS z FROM d GROUP BY series_id),
+ i AS (SELECT d.series_id, t, least(t + age, coalesce(lead(t) OVER (PARTITION BY d.series_id ORDER BY t), o.z)) AS e FROM d JOIN o ON o.series_id = d.series_id),
+ g AS (SELECT series_id, t, e, unnest(range(t - t % 60000, e, 60000)) AS slot FROM i),
+ c AS (SELECT series_id, slot, max(CASE WHEN t >= slot THEN 1 ELSE 0 END) AS own, sum(least(e, slot + 60000) - greatest(t, slot)) AS ms FROM g GROUP BY series_id, slot)
+ SELECT o.series_id, (any_value(z) - any_value(a)) // 60000 AS n_slots, sum(own) AS n_observed, sum(1 - own) AS n_filled, sum(ms) AS covered_ms
+ FROM o JOIN c ON c.series_id = o.series_id GROUP BY o.series_id"""
+
 _KINDS = " UNION ALL ".join(
     ["SELECT '__series__id' AS key_kind, CAST(__series__id AS VARCHAR) AS key_value, __mint AS a, __maxt AS z FROM chunk_index"]
     + [f"SELECT '{c}', coalesce({c}, ''), __mint, __maxt FROM chunk_index" for c in LABELS])
@@ -139,6 +199,9 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (span_kind = 'gap') AS n_gaps, CAST(sum(end_ms - start_ms) FILTER (span_kind = 'period') AS BIGINT) AS period_ms,
         CAST(coalesce(sum(end_ms - start_ms) FILTER (span_kind = 'gap'), 0) AS BIGINT) AS gap_ms FROM spans GROUP BY series_id""",
     "p4_found": _CELL_SQL,
+    "p5_found": _CHANGES,
+    "p5_versions": _VERSIONS,
+    "p7_series_summary": "WITH " + _SLOTS,
     "p6_span_summary": f"""WITH k AS ({_KINDS}),
         t AS (SELECT key_kind, key_value, count(*) AS n_rows, min(a) AS first_start, max(z) AS last_end FROM k GROUP BY key_kind, key_value),
         m AS (SELECT key_kind, key_value, a, z, max(z) OVER (PARTITION BY key_kind, key_value ORDER BY a, z

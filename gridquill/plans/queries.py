@@ -255,6 +255,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_grid(spark, d).where("n_readings = 0").select("series_id", "slot_ms")
 
 
+def p7_series_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per series: cells of the grid, those observed and filled, and the time covered."""
+    of = lambda status: F.count(F.when(F.col("status") == status, 1))
+    return p7_grid(spark, d).groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_slots"), of("observed").alias("n_observed"), of("filled").alias("n_filled"),
+        F.sum(F.round(F.col("coverage") * grid.SLOT_MS)).cast("long").alias("covered_ms"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     scan_equals, scan_equals_absent, scan_gte, scan_lte, scan_time_range, scan_string_gte, scan_string_lte,
     scan_conjunction, scan_missing_column_ignored, scan_missing_column_empty, scan_not_equals, scan_regex,
@@ -270,4 +278,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     "promql_decoded_max": _prom("max by (cluster) ({job!=\"\"})", samples="decoded", mode="overlap"),
 } | {f.__name__: f for f in (
     p3_found, p3_series_coverage, p4_found, p4_wide, p5_found, p5_consistent, p5_versions, p6_span_summary, p7_found, p7_grid,
+    p7_series_summary,
 )}
