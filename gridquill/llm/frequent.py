@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Share of all rows from which a value counts as frequent.
 MIN_SHARE = 0.005
 #: Rows that a map task holds before it writes them out as one sorted run.
@@ -125,6 +127,7 @@ def frequent_values(df: DataFrame, columns: Sequence[str], min_share: float = MI
     by a heap of ``1 / min_share`` values per column: no more can be frequent,
     so the heap loses none.  A hot value reaches its range once per run.
     """
+    ship(df.sparkSession)
     total = df.count()
     keep = math.ceil(1 / Fraction(str(min_share)))
     texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
