@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 
 #: The catalogue is held by every task; more names than this are refused.
 CATALOG_BOUND = 10_000
@@ -111,6 +111,7 @@ def wide_table(rows: DataFrame, catalog: DataFrame, entity: str = "series_id", r
         return a
 
     spark = rows.sparkSession
+    ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # parsed once and kept in the shared folder: the RDD stages can be retried from there
     registers = cut_lineage(cells).rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4]))).combineByKey(

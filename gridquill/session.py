@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,23 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application; Python workers import it.
+
+    In local mode they share the driver's path already.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_gridquill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gridquill-")) / "gridquill.zip"  # read by the driver's own file server
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._gridquill_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder so that later stages can be retried from it."""
     shared_dir(df.sparkSession)
@@ -56,10 +75,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """``df`` with enough partitions to keep every core busy.
+    """``df``, for a Python map, with enough partitions to keep every core busy.
 
     Few large row groups leave most cores idle in CPU-bound Python maps; only
     then are the rows moved (round robin, so no key can make it uneven).
     """
+    ship(df.sparkSession)
     wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
