@@ -110,8 +110,10 @@ def schema_changes(rows: DataFrame, rename_share: float = RENAME_SHARE) -> DataF
 
 def changes_of(rows: DataFrame, votes: DataFrame, rename_share: float) -> DataFrame:
     """``schema_changes`` from votes that are already there."""
-    cols = cut_lineage(part_columns(votes))
-    links = part_versions(rows).where("previous is not null").select("writer_id", "part_no", "previous")
+    # Column lists, part links and column comparisons are small (per file, not per record) and each
+    # feeds several joins: kept once, they are not planned and run again in every branch.
+    cols = part_columns(votes)
+    links = cut_lineage(part_versions(rows).where("previous is not null").select("writer_id", "part_no", "previous"))
 
     named = links.toDF("lw", "lp", "previous")
     own = F.col("lw").eqNullSafe(F.col("writer_id"))
@@ -122,18 +124,15 @@ def changes_of(rows: DataFrame, votes: DataFrame, rename_share: float) -> DataFr
     sides = now.unionByName(was, allowMissingColumns=True).groupBy("writer_id", "part_no", "label").agg(
         F.max("now_kind").alias("now_kind"), F.max("was_kind").alias("was_kind"),
         F.max("in_now").alias("in_now"), F.max("in_was").alias("in_was"))
+    sides = cut_lineage(sides)
     came = sides.where("in_was is null").select("writer_id", "part_no", "label", F.col("now_kind").alias("kind"))
     gone = sides.where("in_now is null").select("writer_id", "part_no", "label", F.col("was_kind").alias("kind"))
     kept = sides.where("in_was and in_now and was_kind <> now_kind").select(
         "writer_id", "part_no", F.lit("retyped").alias("change_kind"), F.col("label").alias("old_label"), F.col("label").alias("new_label"))
 
-    # One value per part, label and series: the commonest, so strays do not count.
-    seen = votes.where("kind is not null and sid is not null").groupBy("writer_id", "part_no", "label", "sid", "value").agg(
-        F.sum("n").alias("n"))
-    mode = seen.groupBy("writer_id", "part_no", "label", "sid").agg(F.max(F.struct("n", "value"))["value"].alias("value"))
-    present = votes.where("sid is not null").select("writer_id", "part_no", "sid").distinct()
-    old = _values(gone, links, mode, present, "previous", "part_no")
-    new = _values(came, links, mode, present, "part_no", "previous")
+    # One value per part, changed label and series: the commonest, so strays do not count.
+    moved = cut_lineage(_values(gone, came, links, votes))
+    old, new = [moved.where(F.col("side") == side).drop("side") for side in ("old", "new")]
     sizes_old = old.groupBy("writer_id", "part_no", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes_new = new.groupBy("writer_id", "part_no", "label").agg(F.count(F.lit(1)).alias("n"))
     a, b = old.alias("a"), new.alias("b")
@@ -152,6 +151,7 @@ def changes_of(rows: DataFrame, votes: DataFrame, rename_share: float) -> DataFr
     per_new = Window.partitionBy("writer_id", "part_no", "new_label").orderBy(rank.desc(), "old_label")
     pairs = scored.withColumn("ro", F.row_number().over(per_old)).withColumn("rn", F.row_number().over(per_new)).where(
         "ro = 1 and rn = 1").select("writer_id", "part_no", "old_label", "new_label")
+    pairs = cut_lineage(pairs)
 
     p = pairs.toDF("pw", "pp", "po", "pn")
     hit_old = F.col("writer_id").eqNullSafe(F.col("pw")) & (F.col("part_no") == F.col("pp")) & (F.col("label") == F.col("po"))
@@ -172,18 +172,24 @@ def _eq(c: str) -> Column:
     return F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
 
 
-def _values(labels: DataFrame, links: DataFrame, mode: DataFrame, present: DataFrame, own: str, other: str) -> DataFrame:
-    """Values of changed labels in part ``own`` for the series that also occur in part ``other``; keyed by the later part."""
-    la = labels.select(F.col("writer_id").alias("lw"), F.col("part_no").alias("lp"), "label")
-    li = links.select(F.col("writer_id").alias("kw"), F.col("part_no").alias("kp"), "previous")
+def _values(gone: DataFrame, came: DataFrame, links: DataFrame, votes: DataFrame) -> DataFrame:
+    """Values of labels that go or come, for series that occur in both parts; ``part_no`` is the later part."""
+    changed = gone.select("writer_id", "part_no", "label", F.lit("old").alias("side")).unionByName(
+        came.select("writer_id", "part_no", "label", F.lit("new").alias("side")))
+    la = changed.toDF("lw", "lp", "ll", "side")
+    li = links.toDF("kw", "kp", "previous")
+    is_old = F.col("side") == "old"
     wanted = la.join(li, F.col("lw").eqNullSafe(F.col("kw")) & (F.col("lp") == F.col("kp"))).select(
-        F.col("lw"), F.col("lp"), F.col("label").alias("ll"), F.col("lp" if own == "part_no" else "previous").alias("own"),
-        F.col("lp" if other == "part_no" else "previous").alias("other"))
-    held = wanted.join(mode, F.col("lw").eqNullSafe(F.col("writer_id")) & (F.col("own") == F.col("part_no")) & (F.col("ll") == F.col("label"))).select(
-        "lw", "lp", "ll", "other", "sid", "value")
-    there = present.toDF("sw", "sp", "ss")
-    both = held.join(there, F.col("lw").eqNullSafe(F.col("sw")) & (F.col("other") == F.col("sp")) & (F.col("sid") == F.col("ss")), "left_semi")
-    return both.select(F.col("lw").alias("writer_id"), F.col("lp").alias("part_no"), F.col("ll").alias("label"), "sid", "value")
+        "lw", "lp", "ll", "side", F.when(is_old, F.col("previous")).otherwise(F.col("lp")).alias("own"),
+        F.when(is_old, F.col("lp")).otherwise(F.col("previous")).alias("other"))
+    given = votes.where("kind is not null and sid is not null")
+    held = wanted.join(given, F.col("lw").eqNullSafe(F.col("writer_id")) & (F.col("own") == F.col("part_no")) & (F.col("ll") == F.col("label")))
+    keys = ["lw", "lp", "ll", "side", "other", "sid"]
+    counted = held.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    mode = counted.groupBy(*keys).agg(F.max(F.struct("n", "value"))["value"].alias("value"))
+    there = votes.where("sid is not null").select("writer_id", "part_no", "sid").distinct().toDF("sw", "sp", "ss")
+    both = mode.join(there, F.col("lw").eqNullSafe(F.col("sw")) & (F.col("other") == F.col("sp")) & (F.col("sid") == F.col("ss")), "left_semi")
+    return both.select(F.col("lw").alias("writer_id"), F.col("lp").alias("part_no"), F.col("ll").alias("label"), "side", "sid", "value")
 
 
 def consistent_table(rows: DataFrame, rename_share: float = RENAME_SHARE) -> DataFrame:
