@@ -6,6 +6,7 @@ Parquet reader (statistics, dictionaries, bloom filters, page index).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -48,8 +49,6 @@ class Predicate:
 
     def on_absent(self) -> bool:
         """What the predicate says when the column is taken as ``''`` everywhere."""
-        import re
-
         verdict = {
             "=": self.value == "",
             "!=": self.value != "",

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import BOOKKEEPING, FIXED, MAXT, MINT, SERIES, label, label_columns
+from ..schema import MAXT, MINT, SERIES, label, label_columns
+from ..session import cut_lineage
 from .scan import Predicate, scan
 
 
@@ -71,8 +71,6 @@ def assign_series_ids(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     ranged = df.select(*keys).distinct().repartitionByRange(*[F.col(f"`{n}`") for n in labels])
     placed = ranged.sortWithinPartitions(*labels).select(
         *labels, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
-    from ..session import cut_lineage
-
     placed = cut_lineage(placed)
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("first")).collect()
     total, base = 0, {}
@@ -83,10 +81,3 @@ def assign_series_ids(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     ids = placed.select(*labels, (F.col("_i") + (shift[F.col("_p")] if shift is not None else F.lit(0))).alias(SERIES))
     filled = df.select(*[label(c).alias(c) if c in labels else F.col(f"`{c}`") for c in df.columns if c != SERIES])
     return filled.join(ids, list(labels))
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(Column.__or__, conditions) if conditions else F.lit(False)
-
-
-__all__ = ["ChunkEngine", "assign_series_ids", "BOOKKEEPING", "FIXED"]

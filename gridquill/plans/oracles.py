@@ -87,7 +87,8 @@ _VERSIONS = _PART_COLUMNS + r""",
  f AS (SELECT p.writer_id, p.part_no, coalesce(n_labels, 0) AS n_labels, sha256(coalesce(l, '')) AS fingerprint
        FROM parts p LEFT JOIN per q ON p.writer_id = q.writer_id AND p.part_no = q.part_no),
  m AS (SELECT *, CASE WHEN lag(fingerprint) OVER (PARTITION BY writer_id ORDER BY part_no) IS NOT DISTINCT FROM fingerprint THEN 0 ELSE 1 END AS n FROM f)
- SELECT writer_id, part_no, n_labels, fingerprint, sum(n) OVER (PARTITION BY writer_id ORDER BY part_no) AS version FROM m"""
+ SELECT writer_id, part_no, CAST(n_labels AS INTEGER) AS n_labels, fingerprint,
+  CAST(sum(n) OVER (PARTITION BY writer_id ORDER BY part_no) AS INTEGER) AS version FROM m"""
 
 _SLOTS = READINGS + """,
  d AS (SELECT DISTINCT r.series_id, t, CAST(ceil(3.0 * coalesce(scrape_ms, 60000)) AS BIGINT) AS age FROM readings r LEFT JOIN series x ON x.__series__id = r.series_id),
@@ -95,7 +96,8 @@ _SLOTS = READINGS + """,
  i AS (SELECT d.series_id, t, least(t + age, coalesce(lead(t) OVER (PARTITION BY d.series_id ORDER BY t), o.z)) AS e FROM d JOIN o ON o.series_id = d.series_id),
  g AS (SELECT series_id, t, e, unnest(range(t - t % 60000, e, 60000)) AS slot FROM i),
  c AS (SELECT series_id, slot, max(CASE WHEN t >= slot THEN 1 ELSE 0 END) AS own, sum(least(e, slot + 60000) - greatest(t, slot)) AS ms FROM g GROUP BY series_id, slot)
- SELECT o.series_id, (any_value(z) - any_value(a)) // 60000 AS n_slots, sum(own) AS n_observed, sum(1 - own) AS n_filled, sum(ms) AS covered_ms
+ SELECT o.series_id, (any_value(z) - any_value(a)) // 60000 AS n_slots, CAST(sum(own) AS BIGINT) AS n_observed,
+   CAST(sum(1 - own) AS BIGINT) AS n_filled, CAST(sum(ms) AS BIGINT) AS covered_ms
  FROM o JOIN c ON c.series_id = o.series_id GROUP BY o.series_id"""
 
 _KINDS = " UNION ALL ".join(
