@@ -15,7 +15,7 @@ from . import bitmaps, encoding, frequent, leakage, mixing
 Query = Callable[[SparkSession, str], DataFrame]
 
 FREQUENT_COLUMNS = ("pod", "route", "container_id")
-#: Bits of the bitmaps that the SQL check computes too.
+#: Bits of the bitmaps that the SQL check computes too; no fewer are used, and more where the rows need them.
 MD5_BITS = 1 << 18
 
 
@@ -41,8 +41,14 @@ def p2_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_distinct_counts_md5(spark: SparkSession, d: str) -> DataFrame:
-    """As above with a hash and a size that SQL can follow bit by bit."""
-    out = bitmaps.distinct_cube(table(spark, d, "chunk_index"), _ids(), _dims(), how="md5", bits=MD5_BITS)
+    """As above with a hash, and up to 1.8 million rows a size, that SQL can follow bit by bit.
+
+    Larger tables are sized by error as above, so every count is within three
+    standard errors of 1 %; the bound of each group is in ``p2_distinct_counts``.
+    """
+    rows = table(spark, d, "chunk_index")
+    bits = max(MD5_BITS, bitmaps.bits_for(max(rows.count(), 1)))
+    out = bitmaps.distinct_cube(rows, _ids(), _dims(), how="md5", bits=bits)
     return out.select("id_kind", "level", F.col("day").cast("string").alias("day"), "namespace", "job", "n_distinct")
 
 

@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from gridquill.llm import bitmaps as B
+from gridquill.llm import bitmaps as B, queries
 
 
 def cube(df, **more):
@@ -52,3 +52,13 @@ def test_sizes_and_edges(spark):
         B.partial_bitmaps(empty, {"u": F.col("u")}, {}, 1000)
     with pytest.raises(ValueError):
         B.hashed(F.col("u"), "crc")
+
+
+def test_md5_bitmaps_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A table that has outgrown the size of the SQL check, here a very small one."""
+    text = F.col("id").cast("string")
+    spark.range(3000).select(F.col("id").alias("__series__id"), text.alias("pod"), text.alias("container_id"), F.lit(0).alias("__mint"),
+                             F.lit("n").alias("namespace"), F.lit("j").alias("job")).write.parquet(f"{tmp_path}/chunk_index.parquet")
+    monkeypatch.setattr(queries, "MD5_BITS", 64)
+    counts = {r.n_distinct for r in queries.p2_distinct_counts_md5(spark, str(tmp_path)).collect()}
+    assert None not in counts and all(abs(n - 3000) <= 0.03 * 3000 for n in counts)
