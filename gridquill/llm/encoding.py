@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -68,18 +69,40 @@ PHRASES = (
     "Não há solução fácil: a página já não está disponível. Três opções são possíveis, então façamos à mão. É só atenção e razão.",
     "Кто-нибудь уже пробовал это сделать? После обновления всё работает очень медленно, и я не понимаю почему. Спасибо за помощь, «друг».",
     "Zażółć gęślą jaźń. Może ktoś wie, dlaczego źródło się zmieniło? Najczęściej winne są błędy, które łatwo naprawić później. Dziękuję „bardzo”.",
+    "Může mi někdo říct, proč se po aktualizaci všechno tak zpomalilo? Děkuji, už jsem zkoušel úplně všechno a nevím si rady.",
+    "Köszönöm, de már megpróbáltam: a frissítés után minden lassú, és nem értem, miért. Az űrlap később eltűnt, az időzítő működik.",
+    "Ξέρει κανείς γιατί όλα έγιναν τόσο αργά μετά την ενημέρωση; Ευχαριστώ πολύ για τη βοήθεια, δεν καταλαβαίνω τι φταίει.",
+    "Güncellemeden sonra her şey çok yavaşladı, nedenini anlamıyorum. Teşekkürler, değişiklik işe yaramadı; başka öneriniz var mı?",
     "It’s a naïve café — don’t pay €20 for it… “Really,” she said – that’s fine.",
 )
 
+#: Fitted on as words of their own: what they turn into is often all that is garbled.
+ALONE = ("\u00a0", "\u200b", "\ufeff", *"°£€§©®™→✓✔✗★♥😀😂😉🙂😊🤔👍🙏🎉🚀", "❤️")
+
 # Code marks: fenced and inline spans, and code or pre elements.
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|samp|kbd|tt)\b[^>]*>.*?(?:</\1\s*>|\Z)|(`+)(?!`).+?(?<!`)\2(?!`)", re.S | re.I)
 _TOKEN = re.compile(r"[^ \t\r\n\f\v]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _MIXED = re.compile("[A-Za-z\u00c0-\u017f][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u017f]")
 # Typographic spaces and invisible characters are no evidence where nothing else beyond ASCII is about.
+# What the inverse of a chain out of UTF-8 may hold beyond ASCII: letters of the scripts in wide use today, signs, emoji.
+# Strict decoding has ruled out nearly everything else; scripts left out are those that accented
+# letters before quotes or dashes look like (the end of a German or French quotation reads as NKo or IPA).
+_WRITTEN = re.compile("[\u00a0-\u017f\u018f\u0192\u01a0\u01a1\u01af\u01b0\u01cd-\u01dc\u0218-\u021b\u0259\u02b0-\u02ff\u0300-\u036f\u0370-\u052f\u0531-\u058a\u05d0-\u05f4\u0600-\u06ff\u0900-\u0dff\u0e00-\u0eff"
+                      "\u10a0-\u11ff\u1e00-\u206f\u2070-\u2bff\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff\ufb00-\ufb06\ufb50-\ufdff\ufe00-\ufe0f\ufe30-\ufeff"
+                      "\uff00-\uffef\U0001f000-\U0001faff\U00020000-\U0003134f\U000e0020-\U000e007f]")
+# The other chains decode anything, so only letters of their scripts and the usual signs of prose tell.
+_PROSE = re.compile("[\u00a1\u00a2\u00a3\u00a5\u00a7\u00a9\u00aa\u00ab\u00ae\u00b0-\u00b3\u00b5\u00b7\u00b9-\u00ff\u0100-\u017f\u0218-\u021b\u0400-\u045f\u0490\u0491"
+                    "\u2010-\u2015\u2018-\u201e\u2022\u2026\u2032\u2033\u20ac\u2116\u2122]")
+_SIGN_IN_WORD = re.compile(r"[^\W\d_][^\w\x00-\x7f\u00b7\u2010-\u2015\u2019][^\W\d_]")
 _BLANK = re.compile("[\u00a0\u00ad\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
+def _readable(c: str, usual: re.Pattern[str]) -> bool:
+    """Whether a character is ASCII or an assigned one that ``usual`` has; controls and unpaired surrogates never are."""
+    return c <= "\x7f" or (usual.match(c) is not None and unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs"))
+
+
 def tokens_of(line: str) -> list[str]:
     """Words with letters or signs beyond ASCII."""
     return [t for t in _TOKEN.findall(line) if not t.isascii() and not _BLANK.sub("", t).isascii()]
@@ -165,11 +188,10 @@ def _grams(token: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Multinomial naive Bayes: log-likelihoods per class and bucket, and the letters of clean text."""
+    """Multinomial naive Bayes: log-likelihoods per class and bucket."""
 
     weights: np.ndarray  # bucket x class
     prior: np.ndarray
-    letters: frozenset[str]
 
     def score(self, token: str) -> np.ndarray:
         return self.weights[_grams(token)].sum(axis=0)
@@ -220,15 +242,14 @@ def fit(texts: Sequence[str]) -> Model:
 
 def _fit(lines: Sequence[str]) -> Model:
     counts = np.full((BUCKETS, len(_NAMES)), 0.02)
-    letters: dict[str, int] = defaultdict(int)
     tokens: dict[str, int] = defaultdict(int)
     for line in lines:
-        for t in tokens_of(line):
-            tokens[t] += 1
+        for t in _TOKEN.findall(line):
+            if not t.isascii():
+                tokens[t] += 1
+    for t in ALONE:
+        tokens[t] += 5
     for t, n in tokens.items():
-        for c in t:
-            if c > "\x7f":
-                letters[c] += n
         weight = min(n, 20)
         np.add.at(counts, (_grams(t), 0), weight)
         for k, chain in enumerate(CHAINS, 1):
@@ -238,7 +259,7 @@ def _fit(lines: Sequence[str]) -> Model:
     weights = np.log(counts / counts.sum(axis=0)).astype(np.float32)
     prior = np.full(len(_NAMES), np.log((1 - CLEAN_PRIOR) / len(CHAINS)))
     prior[0] = np.log(CLEAN_PRIOR)
-    return Model(weights, prior, frozenset(letters))
+    return Model(weights, prior)
 
 
 class Detector:
@@ -255,16 +276,22 @@ class Detector:
             held = self.seen[token] = self.model.score(token)
         return held
 
-    def readable(self, text: str) -> bool:
-        """Whether every character beyond ASCII is one that clean text has and no word mixes alphabets."""
-        return all(c <= "\x7f" or c in self.model.letters for c in text) and not _MIXED.search(text)
+    def readable(self, text: str, chain: str = "utf8") -> bool:
+        """Whether every character is one that the originals of a chain are written with and no word mixes alphabets.
+
+        A fixed rule by script and category: what is found does not depend on the sample the model was fitted on.
+        """
+        usual = _WRITTEN if chain.startswith("utf8") else _PROSE
+        if usual is _PROSE and _SIGN_IN_WORD.search(text):
+            return False
+        return all(_readable(c, usual) for c in text) and not _MIXED.search(text)
 
     def restore_token(self, token: str, chain: str) -> str | None:
-        """The token's original, whole or run by run; null unless some run decodes strictly to known letters."""
+        """The token's original, whole or run by run; null unless some run decodes strictly to readable text."""
         whole = invert(token, chain)
-        if chain not in _TELLING and _BLANK.search(token):
-            return None
-        if whole is not None and whole != token and self.readable(whole):
+        if chain not in _TELLING and (_BLANK.search(token) or token.isupper() and whole is not None and not whole.isupper()):
+            return None  # Western letters for Western letters: a word in capitals is one as it stands
+        if whole is not None and whole != token and self.readable(whole, chain):
             return whole
         if not chain.startswith("utf8"):
             return None  # any run decodes; only whole words can tell
@@ -273,7 +300,7 @@ class Detector:
         def one(m: re.Match) -> str:
             nonlocal changed
             back = invert(m.group(), chain)
-            if back is not None and back != m.group() and self.readable(back):
+            if back is not None and back != m.group() and self.readable(back, chain):
                 changed = True
                 return back
             return m.group()
@@ -286,9 +313,11 @@ class Detector:
         total = self.model.prior.copy()
         for t in tokens:
             total = total + self.score(t)
+        best: tuple[float, str] | None = None
+        least = total[0] + MARGIN
         for k in np.argsort(-total)[:4].tolist():
-            if k == 0 or total[k] - total[0] < MARGIN:
-                return None
+            if k == 0 or total[k] < least:
+                break
             chain = _NAMES[k]
             restored = [(t, self.restore_token(t, chain)) for t in tokens]
             good = [(t, r) for t, r in restored if r is not None]
@@ -297,8 +326,12 @@ class Detector:
             # the original must read as clean text, better than what is there
             gain = sum(float(self.score(r)[0]) if not r.isascii() else 0.0 for _, r in good) - sum(float(self.score(t)[0]) for t, _ in good)
             if gain > MARGIN and (chain.startswith("utf8") or 2 * len(good) >= len(tokens)):
-                return chain
-        return None
+                # of chains about as likely, the one whose original reads best
+                if best is None:
+                    least = max(least, total[k] - MARGIN)
+                if best is None or gain > best[0]:
+                    best = gain, chain
+        return best and best[1]
 
     def chain_of_line(self, line: str) -> str | None:
         """The chain of a line or, failing that, of one of its tokens."""
@@ -337,6 +370,8 @@ class Detector:
             if chain is None and main is not None and main.startswith("utf8") and not line.isascii():
                 chain = main  # code inside a garbled text went the same way
             if chain is not None:
+                k = _NAMES.index(chain)
+                open_runs = open_runs or i in of_line and any(self.score(t)[k] - self.score(t)[0] > MARGIN and self.restore_token(t, chain) is None for t in tokens_of(line))
                 line = _TOKEN.sub(lambda m: m.group() if m.group().isascii() else self.restore_token(m.group(), chain) or m.group(), line)
                 open_runs = open_runs or not self.readable(_BLANK.sub("", line)) or self.chain_of_line(line) is not None
             restored.append(line)

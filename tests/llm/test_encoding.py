@@ -82,3 +82,17 @@ def test_held_out_accuracy_of_the_classifier(detector):
                 said = (detector.chain_of_line(bad) or "").replace("latin1", "cp1252")
                 right += said == chain
     assert right / total > 0.9
+
+
+@pytest.mark.parametrize("text", ["That works 😀 thanks", "two\xa0 words here", "a\u200b b", "\ufeffHello there", "Ακόμα δεν λειτουργεί τίποτα", "Příliš žluťoučký kůň úpěl ďábelské ódy",
+                                  "Árvíztűrő tükörfúrógép", "at 20° outside", "costs £5 now", "これは日本語です", "Değiştirdiğim şey işe yaradı"])
+def test_letters_that_the_sample_lacks_are_found(detector, text):
+    assert detector.inspect(text) is None
+    for chain in ("utf8>cp1252", "utf8>latin1"):
+        if (bad := X.garble(text, chain)) is not None:
+            assert detector.inspect(bad)[1:] == (True, text)
+
+
+def test_quotes_and_dashes_after_capitals_are_no_letters(detector):
+    for text in ("„Spaß“ und “CAFÉ” – «À» É…", "DÉJÀ VU – “FIANCÉ”", "Größe: Ä–Ö, Ü“ ß” ñ"):
+        assert detector.inspect(text) is None, text
