@@ -80,7 +80,10 @@ PHRASES = (
 ALONE = ("\u00a0", "\u200b", "\ufeff", *"°£€§©®™→✓✔✗★♥😀😂😉🙂😊🤔👍🙏🎉🚀", "❤️")
 
 # Code marks: fenced and inline spans, and code or pre elements.
-_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|samp|kbd|tt)\b[^>]*>.*?(?:</\1\s*>|\Z)|(`+)(?!`).+?(?<!`)\2(?!`)", re.S | re.I)
+_OPEN = re.compile(r"(?P<fence>```|~~~)|<(?P<tag>pre|code|samp|kbd|tt)\b[^<>]*>|(?P<ticks>`+)", re.I)
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("pre", "code", "samp", "kbd", "tt")}
+_TICKS = re.compile("`+")
+_BLANK_LINE = re.compile(r"\n[ \t\r\f\v]*\n")
 _TOKEN = re.compile(r"[^ \t\r\n\f\v]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _MIXED = re.compile("[A-Za-z\u00c0-\u017f][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z\u00c0-\u017f]")
@@ -197,11 +200,56 @@ class Model:
         return self.weights[_grams(token)].sum(axis=0)
 
 
+def code_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of what lies inside code marks, marks included.
+
+    An inline span ends within its paragraph; a mark that nothing closes opens
+    no span, whatever follows it.
+    """
+    at, unclosed, stop = 0, set(), -1
+    while (m := _OPEN.search(text, at)) is not None:
+        at, end = m.end(), -1
+        if (fence := m["fence"]) is not None:
+            if fence not in unclosed:
+                end = text.find(fence, at)
+                if end < 0:
+                    unclosed.add(fence)
+                else:
+                    end += len(fence)
+            if end < 0:
+                if fence == "~~~":
+                    continue
+                m = _TICKS.match(text, m.start())  # may be inline marks of that many signs
+                at = m.end()
+        elif (tag := (m["tag"] or "").lower()):
+            if tag not in unclosed:
+                closed = _CLOSE[tag].search(text, at)
+                if closed is None:
+                    unclosed.add(tag)
+                else:
+                    end = closed.end()
+            if end < 0:
+                continue
+        if end < 0:
+            if stop < at:
+                blank = _BLANK_LINE.search(text, at)
+                stop = blank.start() if blank is not None else len(text)
+            end = next((t.end() for t in _TICKS.finditer(text, at, stop) if len(t.group()) == len(m.group())), -1)
+            if end < 0:
+                continue
+        yield m.start(), end
+        at = end
+
+
 def prose(text: str) -> str:
     """``text`` with code spans blanked out; offsets and lines stay."""
     if "`" not in text and "<" not in text and "~~~" not in text:
         return text
-    return _CODE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    out, at = [], 0
+    for a, z in code_spans(text):
+        out += text[at:a], re.sub(r"[^\n]", " ", text[a:z])
+        at = z
+    return "".join([*out, text[at:]])
 
 
 def _suspicious(token: str) -> bool:

@@ -96,3 +96,14 @@ def test_letters_that_the_sample_lacks_are_found(detector, text):
 def test_quotes_and_dashes_after_capitals_are_no_letters(detector):
     for text in ("„Spaß“ und “CAFÉ” – «À» É…", "DÉJÀ VU – “FIANCÉ”", "Größe: Ä–Ö, Ü“ ß” ñ"):
         assert detector.inspect(text) is None, text
+
+
+def test_stray_and_unclosed_marks_hide_no_prose(detector):
+    bad = X.garble(CLEAN[0], "utf8>cp1252")
+    for text in (f"a stray ` sign\n\n{bad}\n\nand `code`", f"```\n{bad}", f"~~~ {bad}", f"<code> {bad}", f"<PRE class='x'>{bad} </pre", f"`` {bad} `"):
+        found = detector.inspect(text)
+        assert found is not None and found[2] == text.replace(bad, CLEAN[0]), text
+    assert X.prose("a ` b\n \n`Ã©` c").split() == ["a", "`", "b", "c"]
+    assert X.prose("x`a\nb`y ```p\n\nq``` <code>r</CODE >z").split() == ["x", "y", "z"]
+    for text in ("`" * 3 + "x", "<code>" * 50_000, "`a ``b " * 50_000, "<code" * 50_000, "~~~ ``` <pre>" * 20_001):
+        assert len(X.prose(text)) == len(text)
