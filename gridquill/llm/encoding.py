@@ -59,6 +59,8 @@ _NAMES = ("clean", *CHAINS)
 #: Western letters to Western letters or signs, of which odd but clean text has plenty.
 _TELLING = {c for c in CHAINS if c.startswith("utf8") or c in (
     "cp1251>cp1252", "cp1251>koi8_r", "koi8_r>cp1251", "cp866>cp1251", "cp1250>cp1252", "iso8859_2>cp1252")}
+# Chains that few words among clean ones can tell: the telling ones, and those into another alphabet.
+_TELLING_RUNS = [c for c in CHAINS if not c.startswith("utf8") and (c in _TELLING or c.startswith(("koi8_r", "cp866", "cp1251")))]
 LOST = "lost bytes"
 
 #: Fitted on besides the corpus, so that small corpora know these languages too.
@@ -98,6 +100,9 @@ _WRITTEN = re.compile("[\u00a0-\u017f\u018f\u0192\u01a0\u01a1\u01af\u01b0\u01cd-
 _PROSE = re.compile("[\u00a1\u00a2\u00a3\u00a5\u00a7\u00a9\u00aa\u00ab\u00ae\u00b0-\u00b3\u00b5\u00b7\u00b9-\u00ff\u0100-\u017f\u0218-\u021b\u0400-\u045f\u0490\u0491"
                     "\u2010-\u2015\u2018-\u201e\u2022\u2026\u2032\u2033\u20ac\u2116\u2122]")
 _SIGN_IN_WORD = re.compile(r"[^\W\d_][^\w\x00-\x7f\u00b7\u2010-\u2015\u2019][^\W\d_]")
+# Branches of file trees, which single-byte chains take for capitals; no evidence by themselves.
+_TREE = re.compile("[\u2500\u2502\u250c\u2510\u2514\u2518\u251c\u2524\u252c\u2534\u253c]+")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
 _BLANK = re.compile("[\u00a0\u00ad\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
@@ -337,8 +342,11 @@ class Detector:
     def restore_token(self, token: str, chain: str) -> str | None:
         """The token's original, whole or run by run; null unless some run decodes strictly to readable text."""
         whole = invert(token, chain)
-        if chain not in _TELLING and (_BLANK.search(token) or token.isupper() and whole is not None and not whole.isupper()):
-            return None  # Western letters for Western letters: a word in capitals is one as it stands
+        if chain not in _TELLING and _BLANK.search(token):
+            return None
+        if chain not in _TELLING and whole is not None and token.isupper() and not _CYRILLIC.search(whole) and (
+                not whole.isupper() or sum(map(str.isalpha, whole)) < sum(map(str.isalpha, token))):
+            return None  # Western letters for Western letters or signs: a word in capitals is one as it stands
         if whole is not None and whole != token and self.readable(whole, chain):
             return whole
         if not chain.startswith("utf8"):
@@ -363,12 +371,12 @@ class Detector:
             total = total + self.score(t)
         best: tuple[float, str] | None = None
         least = total[0] + MARGIN
-        for k in np.argsort(-total)[:4].tolist():
+        for k in np.argsort(-total).tolist():
             if k == 0 or total[k] < least:
                 break
             chain = _NAMES[k]
             restored = [(t, self.restore_token(t, chain)) for t in tokens]
-            good = [(t, r) for t, r in restored if r is not None]
+            good = [(t, r) for t, r in restored if r is not None and (chain.startswith("utf8") or not _TREE.fullmatch(t))]
             if not good:
                 continue
             # the original must read as clean text, better than what is there
@@ -382,7 +390,7 @@ class Detector:
         return best and best[1]
 
     def chain_of_line(self, line: str) -> str | None:
-        """The chain of a line or, failing that, of one of its tokens."""
+        """The chain of a line or, failing that, of one of its tokens or of a run of garbled ones."""
         tokens = tokens_of(line)
         if not tokens:
             return None
@@ -391,8 +399,28 @@ class Detector:
             for t in tokens:
                 if len(t) > 1 and (c := self.chain_of_tokens([t])) is not None and c.startswith("utf8"):
                     return c
+            return self.chain_of_runs(tokens)
         return chain
 
+    def chain_of_runs(self, tokens: Sequence[str]) -> str | None:
+        """The single-byte chain that garbled some adjacent tokens among clean ones, by the evidence asked of a line."""
+        scores = np.array([self.score(t) for t in tokens])
+        best: tuple[float, str] | None = None
+        for name in _TELLING_RUNS:
+            k = _NAMES.index(name)
+            likelier = scores[:, k] > scores[:, 0]
+            start = 0
+            while start < len(tokens):
+                end = start
+                while end < len(tokens) and likelier[end]:
+                    end += 1
+                if end > start and end - start < len(tokens):
+                    gain = float((scores[start:end, k] - scores[start:end, 0]).sum() + self.model.prior[k] - self.model.prior[0])
+                    if gain >= MARGIN and (best is None or gain > best[0]) and self.chain_of_tokens(tokens[start:end]) == name:
+                        best = gain, name
+                start = end + 1
+        return best and best[1]
+
     def inspect(self, text: str) -> tuple[str, bool, str] | None:
         """``(chains, restorable, restored text)`` of a garbled text, null for a clean one."""
         visible = prose(text)
@@ -420,7 +448,10 @@ class Detector:
             if chain is not None:
                 k = _NAMES.index(chain)
                 open_runs = open_runs or i in of_line and any(self.score(t)[k] - self.score(t)[0] > MARGIN and self.restore_token(t, chain) is None for t in tokens_of(line))
-                line = _TOKEN.sub(lambda m: m.group() if m.group().isascii() else self.restore_token(m.group(), chain) or m.group(), line)
+                # of a line that is garbled in part, and by a chain that decodes anything, only the words that look it
+                partly = not chain.startswith("utf8") and self.chain_of_tokens(tokens_of(line)) != chain
+                line = _TOKEN.sub(lambda m: m.group() if m.group().isascii() or partly and self.score(m.group())[k] <= self.score(m.group())[0]
+                                  else self.restore_token(m.group(), chain) or m.group(), line)
                 open_runs = open_runs or not self.readable(_BLANK.sub("", line)) or self.chain_of_line(line) is not None
             restored.append(line)
         if lost:

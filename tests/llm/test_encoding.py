@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,18 @@ def test_stray_and_unclosed_marks_hide_no_prose(detector):
     assert X.prose("x`a\nb`y ```p\n\nq``` <code>r</CODE >z").split() == ["x", "y", "z"]
     for text in ("`" * 3 + "x", "<code>" * 50_000, "`a ``b " * 50_000, "<code" * 50_000, "~~~ ``` <pre>" * 20_001):
         assert len(X.prose(text)) == len(text)
+
+
+@pytest.mark.parametrize("chain,which", [("cp1251>cp1252", 4), ("cp1251>koi8_r", 4), ("koi8_r>cp1251", 4), ("koi8_r>cp1252", 4), ("cp866>cp1251", 4), ("iso8859_2>cp1252", 5)])
+def test_few_garbled_words_of_a_line(detector, chain, which):
+    words = CLEAN[which].split()
+    found = detector.inspect(" ".join(words[:2] + [X.garble(w, chain) for w in words[2:5]] + words[5:]))
+    assert found is not None and found[1:] == (True, CLEAN[which])
+
+
+def test_every_likely_chain_is_tried(detector):
+    bad = X.garble("größer", "utf8>cp1252")
+    wrong = [c for c in X.CHAINS if detector.restore_token(bad, c) is None][:6]
+    own = X.Detector(detector.model)
+    own.seen[bad] = np.array([-60.0 if c == "clean" else 0.0 if c in wrong else -10.0 if c == "utf8>cp1252" else -90.0 for c in ("clean", *X.CHAINS)])
+    assert len(wrong) == 6 and own.chain_of_tokens([bad]) == "utf8>cp1252"
