@@ -14,23 +14,23 @@ RENAME_SHARE = 0.75
 _TYPES = ("string", "integer", "decimal", "boolean")
 
 
-def label_cells(rows: DataFrame) -> DataFrame:
-    """``(writer_id, part_no, row_no, sid, label, kind, value)``: one row per label in a record.
+def label_cells(rows: DataFrame, *keep: str) -> DataFrame:
+    """``(writer_id, part_no, row_no, keep..., sid, label, kind, value)``: one row per label in a record.
 
     ``kind`` is the JSON type, null where the value is missing (null or ``''``);
     ``value`` is the value's text.  Objects and arrays count as strings.
     """
-    parsed = rows.select("writer_id", "part_no", "row_no", F.from_json("record", "map<string,variant>").alias("m"))
+    parsed = rows.select("writer_id", "part_no", "row_no", *keep, F.from_json("record", "map<string,variant>").alias("m"))
     sid = F.expr(
         f"try_variant_get(m['{FIXED_KEYS[0]}'], '$', 'bigint')")
-    cells = parsed.select("writer_id", "part_no", "row_no", sid.alias("sid"), F.explode("m").alias("label", "v"))
+    cells = parsed.select("writer_id", "part_no", "row_no", *keep, sid.alias("sid"), F.explode("m").alias("label", "v"))
     cells = cells.where(~F.col("label").isin(*FIXED_KEYS)).select(
-        "writer_id", "part_no", "row_no", "sid", "label", F.schema_of_variant("v").alias("t"),
+        "writer_id", "part_no", "row_no", *keep, "sid", "label", F.schema_of_variant("v").alias("t"),
         F.expr("try_variant_get(v, '$', 'string')").alias("value"))
     t = F.col("t")
     kind = (F.when(t == "VOID", F.lit(None)).when(t == "BIGINT", "integer").when(t.startswith("DECIMAL") | (t == "DOUBLE"), "decimal")
             .when(t == "BOOLEAN", "boolean").when(F.col("value") == "", F.lit(None)).otherwise("string"))
-    return cells.select("writer_id", "part_no", "row_no", "sid", "label", kind.alias("kind"), "value")
+    return cells.select("writer_id", "part_no", "row_no", *keep, "sid", "label", kind.alias("kind"), "value")
 
 
 def label_votes(rows: DataFrame) -> DataFrame:
@@ -200,10 +200,14 @@ def consistent_table(rows: DataFrame, rename_share: float = RENAME_SHARE) -> Dat
     renames of the parts after its own, in order; missing values default to
     absent; values are cast to the type the column has where it was seen last,
     and keep their text where the cast fails.  Of a record delivered twice the
-    latest ``written_at`` stays (ties: the larger record).
+    latest ``written_at`` stays (ties: the larger record).  Rows without a part
+    or row number cannot be told to be one record unless they hold the same
+    text, so each text of them stays; without a part number no rename applies.
+    A null writer is a writer of its own.
     """
     best = F.max(F.struct(F.col("written_at"), F.col("record")))["record"].alias("record")
-    once = rows.groupBy("writer_id", "part_no", "row_no").agg(best)
+    unnumbered = F.when(F.col("part_no").isNull() | F.col("row_no").isNull(), F.col("record"))
+    once = rows.groupBy("writer_id", "part_no", "row_no", unnumbered.alias("own_text")).agg(best)
     votes = label_votes(rows)
     steps = changes_of(rows, votes, rename_share).where("change_kind = 'renamed'").groupBy("writer_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("part_no").alias("p"), F.col("old_label").alias("o"), F.col("new_label").alias("n")))).alias("steps"))
@@ -217,22 +221,23 @@ def consistent_table(rows: DataFrame, rename_share: float = RENAME_SHARE) -> Dat
     newest = routes.where("kind is not null").groupBy("writer_id", "target").agg(F.max(F.struct("part_no", "kind"))["kind"].alias("cast_to"))
     routes = routes.join(newest.toDF("nw", "nt", "cast_to"), F.col("writer_id").eqNullSafe(F.col("nw")) & (F.col("target") == F.col("nt")), "left")
     r = routes.select(F.col("writer_id").alias("rw"), F.col("part_no").alias("rp"), F.col("label").alias("rl"), "target", "cast_to")
-    cells = label_cells(spread(once)).where("kind is not null")
-    moved = cells.join(r, F.col("writer_id").eqNullSafe(F.col("rw")) & (F.col("part_no") == F.col("rp")) & (F.col("label") == F.col("rl")))
+    cells = label_cells(spread(once), "own_text").where("kind is not null")
+    moved = cells.join(r, F.col("writer_id").eqNullSafe(F.col("rw")) & F.col("part_no").eqNullSafe(F.col("rp")) & (F.col("label") == F.col("rl")))
     v = F.col("value")
     cast = (F.when(F.col("cast_to") == "integer", v.try_cast("decimal(38,6)").try_cast("bigint").cast("string"))
             .when(F.col("cast_to") == "decimal", v.try_cast("double").cast("string"))
             .when(F.col("cast_to") == "boolean", v.try_cast("boolean").cast("string")).otherwise(v))
-    listed = moved.groupBy("writer_id", "part_no", "row_no").agg(
+    listed = moved.groupBy("writer_id", "part_no", "row_no", "own_text").agg(
         F.sort_array(F.collect_list(F.struct("target", F.coalesce(cast, v).alias("value")))).alias("l"))
     # two columns of one record may lead to one name (a key given twice): the larger text stays
     single = F.filter("l", lambda x, i: (i == F.size("l") - 1) | (F.get("l", i + 1)["target"] != x["target"]))
-    labels = listed.select("writer_id", "part_no", "row_no", F.map_from_entries(single).alias("labels"))
+    labels = listed.select("writer_id", "part_no", "row_no", "own_text", F.map_from_entries(single).alias("labels"))
     m = F.from_json("record", "map<string,variant>")
     base = once.withColumn("m", m).select(
-        "writer_id", "part_no", "row_no", *[F.expr(f"try_variant_get(m['{k}'], '$', '{t}')").alias(n) for k, t, n in (
+        "writer_id", "part_no", "row_no", "own_text", *[F.expr(f"try_variant_get(m['{k}'], '$', '{t}')").alias(n) for k, t, n in (
             ("__series__id", "bigint", "series_id"), ("__mint", "bigint", "mint"), ("__maxt", "bigint", "maxt"), ("__name__", "string", "name"))])
-    la = labels.toDF("lw", "lp", "lr", "labels")
+    la = labels.toDF("lw", "lp", "lr", "lo", "labels")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return base.join(la, F.col("writer_id").eqNullSafe(F.col("lw")) & F.col("part_no").eqNullSafe(F.col("lp")) & F.col("row_no").eqNullSafe(F.col("lr")), "left").select(
-        *base.columns, F.coalesce("labels", empty).alias("labels"))
+    return base.join(la, F.col("writer_id").eqNullSafe(F.col("lw")) & F.col("part_no").eqNullSafe(F.col("lp")) & F.col("row_no").eqNullSafe(F.col("lr"))
+                     & F.col("own_text").eqNullSafe(F.col("lo")), "left").select(
+        *[c for c in base.columns if c != "own_text"], F.coalesce("labels", empty).alias("labels"))

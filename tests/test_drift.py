@@ -45,3 +45,13 @@ def test_consistent_table_and_versions(spark):
     assert len(got) == 12 and got[0, 2] == {"area": "v2", "port": "1"} and got[2, 1] == {"area": "v1", "port": "x"}
     versions = [(r.part_no, r.n_labels, r.version) for r in schema_fingerprints(df).orderBy("part_no").collect()]
     assert versions == [(0, 2, 1), (1, 2, 2), (2, 2, 3)]
+
+
+def test_rows_without_numbers_all_stay(spark):
+    text = lambda v: json.dumps({"__series__id": 1, "__mint": 0, "__maxt": 1, "__name__": "m", "zone": v})
+    data = [(1, 0, None, None, text("a")), (1, 0, None, None, text("b")), (1, 0, None, None, text("b")), (1, None, 3, None, text("c")),
+            (1, None, 3, None, text("d")), (1, 0, 7, None, text("e")), (1, 0, 7, None, text("f")), (None, None, None, None, text("g")), (1, 0, None, None, None)]
+    got = consistent_table(spark.createDataFrame(data, SCHEMA))
+    assert "own_text" not in got.columns
+    assert sorted((str(r.part_no), str(r.row_no), r.labels.get("zone", "")) for r in got.collect()) == [
+        ("0", "7", "f"), ("0", "None", ""), ("0", "None", "a"), ("0", "None", "b"), ("None", "3", "c"), ("None", "3", "d"), ("None", "None", "g")]
