@@ -16,6 +16,16 @@ def pairs(payload: Column) -> Column:
     return F.split(F.coalesce(payload.cast("string"), F.lit("")), ",")
 
 
+def value_text(value: Column, decimals: int | None = None) -> Column:
+    """A value as plain decimal text: rounded to ``decimals``, or with as many as it takes to read the same double, three at least."""
+    v = value.cast("double")
+    text = F.format_string(f"%.{3 if decimals is None else decimals}f", v)
+    if decimals is not None:
+        return text
+    # no double needs more than 345 decimals; the format pads the shortest exact digits with zeros
+    return F.when(text.try_cast("double").eqNullSafe(v), text).otherwise(F.regexp_replace(F.format_string("%.345f", v), "0+$", ""))
+
+
 def readings(chunks: DataFrame, *keep: str) -> DataFrame:
     """Usable readings ``(series, t, v)`` and the ``keep`` columns of their chunk.
 
