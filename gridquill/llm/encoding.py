@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +113,27 @@ def _readable(c: str, usual: re.Pattern[str]) -> bool:
     return c <= "\x7f" or (usual.match(c) is not None and unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs"))
 
 
+# Character references, numeric or named; none holds white space, so words stay words when they are read.
+_REFERENCE = re.compile(r"&(?:#(?P<dec>[0-9]{1,7})|#[xX](?P<hex>[0-9a-fA-F]{1,6})|(?P<named>[A-Za-z][A-Za-z0-9]{1,31}));")
+#: Texts that may hold anything beyond ASCII, as it stands or as a character reference.
+_CANDIDATE = r"[^\x00-\x7F]|&(#[0-9xX]|[A-Za-z][A-Za-z0-9]*;)"
+
+
+def _referred(m: re.Match[str]) -> str:
+    """What a reference stands for, if that is beyond ASCII; else the reference itself."""
+    if m["named"]:
+        c = html5.get(m["named"] + ";", "")
+    else:
+        code = int(m["dec"]) if m["dec"] else int(m["hex"], 16)
+        c = chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else ""
+    return c if c and not c.isascii() else m.group()
+
+
+def read_references(text: str) -> str:
+    """``text`` with its character references read, as far as they stand for what is beyond ASCII."""
+    return _REFERENCE.sub(_referred, text) if "&" in text else text
+
+
 def tokens_of(line: str) -> list[str]:
     """Words with letters or signs beyond ASCII."""
     return [t for t in _TOKEN.findall(line) if not t.isascii() and not _BLANK.sub("", t).isascii()]
@@ -422,14 +445,19 @@ class Detector:
         return best and best[1]
 
     def inspect(self, text: str) -> tuple[str, bool, str] | None:
-        """``(chains, restorable, restored text)`` of a garbled text, null for a clean one."""
+        """``(chains, restorable, restored text)`` of a garbled text, null for a clean one.
+
+        Character references count as what they stand for; those in words that
+        are not garbled stay references in the restored text.
+        """
         visible = prose(text)
-        if visible.isascii():
+        if visible.isascii() and "&" not in visible:
             return None
         chains: dict[str, int] = {}
         lost = False
         of_line: dict[int, str] = {}
         for i, line in enumerate(visible.split("\n")):
+            line = read_references(line)
             if line.isascii():
                 continue
             if "�" in line:
@@ -443,16 +471,24 @@ class Detector:
         main = max(chains, key=lambda c: chains[c]) if chains else None
         for i, line in enumerate(text.split("\n")):
             chain = of_line.get(i)
-            if chain is None and main is not None and main.startswith("utf8") and not line.isascii():
+            if chain is None and main is not None and main.startswith("utf8") and not read_references(line).isascii():
                 chain = main  # code inside a garbled text went the same way
             if chain is not None:
                 k = _NAMES.index(chain)
-                open_runs = open_runs or i in of_line and any(self.score(t)[k] - self.score(t)[0] > MARGIN and self.restore_token(t, chain) is None for t in tokens_of(line))
+                tokens = tokens_of(read_references(line))
+                open_runs = open_runs or i in of_line and any(self.score(t)[k] - self.score(t)[0] > MARGIN and self.restore_token(t, chain) is None for t in tokens)
                 # of a line that is garbled in part, and by a chain that decodes anything, only the words that look it
-                partly = not chain.startswith("utf8") and self.chain_of_tokens(tokens_of(line)) != chain
-                line = _TOKEN.sub(lambda m: m.group() if m.group().isascii() or partly and self.score(m.group())[k] <= self.score(m.group())[0]
-                                  else self.restore_token(m.group(), chain) or m.group(), line)
-                open_runs = open_runs or not self.readable(_BLANK.sub("", line)) or self.chain_of_line(line) is not None
+                partly = not chain.startswith("utf8") and self.chain_of_tokens(tokens) != chain
+
+                def original(m: re.Match[str]) -> str:
+                    token = read_references(m.group())
+                    if token.isascii() or partly and self.score(token)[k] <= self.score(token)[0]:
+                        return m.group()
+                    return self.restore_token(token, chain) or m.group()
+
+                line = _TOKEN.sub(original, line)
+                after = read_references(line)
+                open_runs = open_runs or not self.readable(_BLANK.sub("", after)) or self.chain_of_line(after) is not None
             restored.append(line)
         if lost:
             chains[LOST] = 1
@@ -468,7 +504,7 @@ def _inspect(model: Model):
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text and not text.isascii() and (r := detector.inspect(text)) is not None:
+                if text and (r := detector.inspect(text)) is not None:
                     rows.append((doc, *r))
             columns = list(zip(*rows)) if rows else [[]] * 4
             types = (pa.int64(), pa.string(), pa.bool_(), pa.string())
@@ -477,13 +513,15 @@ def _inspect(model: Model):
 
 
 def train(documents: DataFrame, rows: int = TRAIN_ROWS, seed: int = 5) -> Model:
-    """Fit on at most ``rows`` texts, drawn by a hash of the text so that any layout gives the same model."""
-    texts = documents.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("text")
+    """Fit on at most ``rows`` texts, those with the smallest hashes, so that any layout gives the same model."""
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30))
+    texts = documents.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("text", drawn.alias("h"))
     total = texts.count()
     if total > rows:
-        share = rows / total
-        texts = texts.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return fit(sorted(r[0] for r in texts.limit(rows).collect()))
+        # a threshold that rather more than ``rows`` hashes lie below keeps what tasks send bounded
+        share = (rows + 6 * math.sqrt(rows)) / total
+        texts = texts.where(F.col("h") < int(share * (1 << 30)))
+    return fit(sorted(r[0] for r in texts.orderBy("h", "text").limit(rows).collect()))
 
 
 def find_garbled(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -495,10 +533,12 @@ def find_garbled(documents: DataFrame, model: Model | None = None) -> DataFrame:
     Code spans are not looked at, unless the text around them is garbled.  Line
     by line, a multinomial classifier over hashed byte bigrams names the chain
     and the text is inverted along it; a line counts only if the inverse
-    decodes strictly and reads as clean text.  Null, empty and pure ASCII texts
-    are clean.  The classifier is fitted on a bounded sample; everything else
+    decodes strictly and reads as clean text.  Character references are read
+    first, so what they spell counts in ASCII texts too.  Null and empty texts
+    are clean, and so are ASCII ones without references.  The classifier is fitted on a bounded sample; everything else
     covers all texts, whole, whatever their length.
     """
     fitted = model or train(documents)
-    texts = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    # the JVM leaves out what cannot be garbled: texts with nothing beyond ASCII, spelled out or referred to
+    texts = spread(documents.where(F.col("text").rlike(_CANDIDATE)).select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return texts.mapInArrow(_inspect(fitted), _OUT)

@@ -65,11 +65,37 @@ def test_part_of_a_text_and_code_marks(detector):
     assert detector.inspect(bad + "\n`Ã¼ber`")[2] == CLEAN[0] + "\n`über`"
 
 
+def referred(text):
+    return "".join(c if c.isascii() else f"&#{ord(c)};" for c in text)
+
+
+def test_character_references(detector):
+    for which in (0, 1, 2, 6):
+        bad = X.garble(CLEAN[which], "utf8>cp1252")
+        found = detector.inspect(referred(bad))
+        assert found is not None and found[1:] == (True, CLEAN[which]), found
+        assert detector.inspect(referred(CLEAN[which])) is None
+    assert detector.inspect("a&Atilde;&plusmn;o, and &#xC3;&#xA9; too")[2] == "año, and é too"
+    assert detector.inspect("fr&#65533;h")[:2] == (X.LOST, False)
+    # clean references of a garbled text stay as they are, and so do those for ASCII
+    assert detector.inspect("I&#226;&#8364;&#8482;d say 1 &lt; 2\n\n&#8222;gern&#8220; &amp; mehr")[2] == "I’d say 1 &lt; 2\n\n&#8222;gern&#8220; &amp; mehr"
+    for sample in ("`&#195;&#169;` is shown", "<code>I&#226;&#8364;&#8482;d</code>", "&nosuchname; &#999999999; &#xD800; &;", "1 &lt; 2 &amp;&amp; 3 &gt; 2", "&copy; 2020 caf&eacute;"):
+        assert detector.inspect(sample) is None, sample
+    assert "&#" not in detector.inspect("I&#226;&#8364;&#8482;d\n```\necho &#226;&#8364;&#339;x&#226;&#8364;&#157;\n```")[2]
+
+
+def test_training_does_not_depend_on_the_layout(spark):
+    texts = [f"Straße {i} ist größer, sagt Ünal {i % 7}" for i in range(900)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    models = [X.train(df.repartition(n), rows=100) for n in (1, 5)] + [X.train(df.orderBy(F.col("text").desc()), rows=100)]
+    assert all(np.array_equal(m.weights, models[0].weights) for m in models[1:])
+
+
 def test_over_a_table(spark):
-    data = [(i, t) for i, t in enumerate(CLEAN)] + [(10, X.garble(CLEAN[2], "utf8>latin1")), (11, None), (12, ""), (13, "ascii"), (14, "x" * 200_000 + " cafÃ©")]
+    data = [(i, t) for i, t in enumerate(CLEAN)] + [(10, X.garble(CLEAN[2], "utf8>latin1")), (11, None), (12, ""), (13, "ascii"), (14, "x" * 200_000 + " cafÃ©"), (15, "a&#195;&#177;o")]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("?") for c in ("chain", "restorable")})
     got = {r.doc_id: (r.restorable, r.restored_text) for r in X.find_garbled(df).collect()}
-    assert got == {10: (True, CLEAN[2]), 14: (True, "x" * 200_000 + " café")}
+    assert got == {10: (True, CLEAN[2]), 14: (True, "x" * 200_000 + " café"), 15: (True, "año")}
     assert X.find_garbled(df.limit(0)).count() == 0
 
 
