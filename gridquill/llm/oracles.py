@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from .bitmaps import BOUND_SIGMAS, ROUNDING, TARGET_ERROR
 from .frequent import MIN_SHARE
-from .queries import FREQUENT_COLUMNS, MD5_BITS
+from .queries import FREQUENT_COLUMNS
 
 _FREQUENT = " UNION ALL ".join(
     f"""SELECT '{c}' AS label_name, {c} AS label_value, count(*) AS n_rows, count(*) / t.n::DOUBLE AS share
@@ -14,19 +15,34 @@ _FREQUENT = " UNION ALL ".join(
 
 _DIMS = ("day", "namespace", "job")
 _LEVELS = [c for n in (3, 2, 1, 0) for c in combinations(_DIMS, n)]
+# The size of the bitmaps: the smallest power of two that counts all rows, were they distinct, within one per cent.
+_BITS = f"""(SELECT min(b) FROM (SELECT CAST(pow(2, i) AS BIGINT) AS b, greatest(n, 1)::DOUBLE AS n
+   FROM range(10, 50) x(i), (SELECT count(*) AS n FROM chunk_index) t)
+   WHERE n / b <= 500 AND 1 / sqrt(2.0 * b) <= {TARGET_ERROR} AND b * exp(-least(n / b, 500)) >= 16
+     AND sqrt(b * greatest(exp(least(n / b, 500)) - 1 - n / b, n / b * n / b / 2)) / n <= {TARGET_ERROR})"""
 _WORDS = f"""
- WITH v AS (SELECT k.id_kind AS id_kind, day, namespace, job, k.v AS v FROM (
+ WITH size AS (SELECT {_BITS} AS m),
+ v AS (SELECT k.id_kind AS id_kind, day, namespace, job, k.v AS v FROM (
    SELECT CAST(make_date(1970, 1, 1) + CAST(floor(__mint / 86400000.0) AS INTEGER) AS VARCHAR) AS day, coalesce(namespace, '') AS namespace,
      coalesce(job, '') AS job, unnest([{{'id_kind': 'series', 'v': CAST(__series__id AS VARCHAR)}}, {{'id_kind': 'pod', 'v': pod}},
      {{'id_kind': 'container_id', 'v': container_id}}]) AS k FROM chunk_index)),
- p AS (SELECT id_kind, day, namespace, job, CAST(('0x' || substr(md5(v), 1, 15)) AS BIGINT) % {MD5_BITS} AS spot FROM v WHERE v <> '')"""
+ p AS (SELECT id_kind, day, namespace, job, v, m, CAST(('0x' || substr(md5(v), 1, 15)) AS BIGINT) % m AS spot FROM v, size WHERE v <> ''),
+ ones AS (""" + " UNION ALL ".join(
+    f"""SELECT id_kind, '{','.join(level)}' AS level, """
+    + ", ".join(d if d in level else f"CAST(NULL AS VARCHAR) AS {d}" for d in _DIMS)
+    + f""", m, count(DISTINCT spot) AS ones, count(DISTINCT v) AS n_exact FROM p GROUP BY {', '.join(('id_kind', 'm', *level))}"""
+    for level in _LEVELS) + f"""),
+ raw AS (SELECT *, -m * ln((m - ones) / m::DOUBLE) AS raw FROM ones),
+ counted AS (SELECT id_kind, level, day, namespace, job, n_exact, CAST(round(raw) AS BIGINT) AS n_distinct, CASE WHEN ones > 1 THEN
+   CAST(ceil({BOUND_SIGMAS} * sqrt(m * greatest(exp(raw / m) - raw / m - 1, raw / m * raw / m / 2)) + {ROUNDING}) AS BIGINT) ELSE 0 END AS error_count
+   FROM raw)"""
+_COUNTED = _WORDS + " SELECT id_kind, level, day, namespace, job, n_distinct, error_count, error_count / n_distinct::DOUBLE AS error_bound FROM counted"
 
 ORACLES: dict[str, str] = {
     "p1_found": f"SELECT label_name, label_value FROM ({_FREQUENT})",
     "p1_frequent_values": _FREQUENT,
-    "p2_distinct_counts_md5": _WORDS + " " + " UNION ALL ".join(
-        f"""SELECT id_kind, '{','.join(level)}' AS level, """
-        + ", ".join(d if d in level else f"CAST(NULL AS VARCHAR) AS {d}" for d in _DIMS)
-        + f""", CAST(round(-{MD5_BITS}.0 * ln(({MD5_BITS} - count(DISTINCT spot)) / {MD5_BITS}.0)) AS BIGINT) AS n_distinct
-        FROM p GROUP BY {', '.join(('id_kind', *level))}""" for level in _LEVELS),
+    "p2_distinct_counts_md5": _COUNTED,
+    "p2_merged_loads": _COUNTED,
+    "p2_bound_checked": _WORDS + """ SELECT id_kind, level, day, namespace, job, n_distinct, error_count, n_exact,
+        abs(n_distinct - n_exact) <= error_count AS within_bound FROM counted""",
 }
