@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import clustering_key
 
@@ -30,21 +31,26 @@ class Predicate:
     op: str
     value: Any
 
-    def condition(self) -> Column:
-        """The comparison.  ``''`` and null both mean a missing label."""
+    def condition(self, kind: T.DataType = T.StringType()) -> Column:
+        """The comparison with a column of type ``kind``.
+
+        In a text column, and in one of bytes (labels stored without a text
+        annotation), ``''`` and null both mean a missing label, which compares
+        as ``''``; other types have no missing value, and null meets nothing.
+        """
         c = F.col(f"`{self.column}`")
-        if self.op in ("=", "!="):
-            same = (c == "") | c.isNull() if self.value == "" else c == self.value
-            if self.op == "=":
-                return same
-            return ~F.coalesce(same, F.lit(False))
-        if self.op == ">=":
-            return c >= self.value
-        if self.op == "<=":
-            return c <= self.value
         if self.op in ("=~", "!~"):
-            hit = F.coalesce(c, F.lit("")).rlike(f"^(?:{self.value})$")
+            hit = F.coalesce(c.cast("string"), F.lit("")).rlike(f"^(?:{self.value})$")
             return hit if self.op == "=~" else ~hit
+        text, value = isinstance(kind, (T.StringType, T.BinaryType)), self.value
+        if isinstance(kind, T.BinaryType) and isinstance(value, str):
+            value = value.encode()  # bytes are compared with bytes, so that the filter still reaches the reader
+        hit = {"=": c.__eq__, "!=": c.__eq__, ">=": c.__ge__, "<=": c.__le__}.get(self.op, self._unknown)(value)
+        if text and self.on_absent() == (self.op != "!="):
+            hit = hit | c.isNull()
+        return ~F.coalesce(hit, F.lit(False)) if self.op == "!=" else hit
+
+    def _unknown(self, value: Any) -> Column:
         raise ValueError(f"unknown operator {self.op!r}")
 
     def on_absent(self) -> bool:
@@ -84,7 +90,7 @@ def scan(df: DataFrame, predicates: Iterable[Predicate] = (), on_missing: str =
     conditions: list[Column] = []
     for p in sorted(wanted, key=lambda p: (order.get(p.column, len(order)), p.column)):
         if p.column in df.columns:
-            conditions.append(p.condition())
+            conditions.append(p.condition(df.schema[p.column].dataType))
         elif on_missing == "error":
             raise MissingColumn(p.column)
         elif on_missing == "empty_string":

@@ -140,7 +140,7 @@ ORACLES: dict[str, str] = {
     "scan_lte": f"SELECT __series__id, __mint, __maxt FROM chunk_index WHERE __maxt <= {T0}",
     "scan_time_range": f"SELECT __series__id, __mint, __maxt FROM chunk_index WHERE __mint >= {T0} AND __maxt <= {T1}",
     "scan_string_gte": "SELECT __series__id, __mint, route FROM chunk_index WHERE route >= '/v2/'",
-    "scan_string_lte": "SELECT __series__id, __mint, namespace FROM chunk_index WHERE namespace <= 'edge'",
+    "scan_string_lte": "SELECT __series__id, __mint, namespace FROM chunk_index WHERE coalesce(namespace, '') <= 'edge'",
     "scan_conjunction": f"""SELECT __series__id, __mint, __maxt, job, namespace FROM chunk_index
         WHERE job = 'ingest' AND namespace = 'edge' AND __mint >= {T0} AND __maxt <= {T1}""",
     "scan_missing_column_ignored": "SELECT __series__id, __mint, __maxt FROM chunk_index WHERE job = 'ledger-api'",
@@ -163,6 +163,13 @@ ORACLES: dict[str, str] = {
         WHERE namespace = 'edge' AND __mint >= {T0} AND __maxt <= {T1}""",
     "select_series_grouping": f"""SELECT CAST(__series__id AS VARCHAR) AS series_id, min(coalesce(namespace,'')) AS namespace,
         min(coalesce(instance,'')) AS instance FROM chunk_index WHERE job = 'ingest' AND __mint >= {T0} AND __maxt <= {T1} GROUP BY __series__id""",
+    "select_series_ordered": f"""WITH r AS (SELECT __series__id, __mint, __maxt, {_ALL} FROM chunk_index
+          WHERE job = 'ingest' AND __mint >= {T0} AND __maxt <= {T1}),
+        f AS (SELECT *, row_number() OVER (PARTITION BY __series__id ORDER BY __name__, __mint, __maxt, container_id, instance, job, namespace, pod, route) AS rn,
+          min(namespace) OVER (PARTITION BY __series__id) AS ns FROM r)
+        SELECT row_number() OVER (ORDER BY __name__, __mint, __maxt, container_id, instance, job, namespace, pod, route, __series__id) - 1 AS position,
+          CAST(__series__id AS VARCHAR) AS series_id, ns AS namespace FROM f WHERE rn = 1""",
+    "project_batches": "SELECT CAST(count(*) AS BIGINT) AS n_rows, TRUE AS bounded FROM chunk_index",
     "select_series_overlap": f"""SELECT CAST(__series__id AS VARCHAR) AS series_id, min(coalesce(job,'')) AS job
         FROM chunk_index WHERE __maxt >= {T0} AND __mint <= {T0 + 3_600_000} GROUP BY __series__id""",
     "label_values": "SELECT DISTINCT instance AS label_value FROM chunk_index WHERE job = 'ingest' AND instance <> ''",
@@ -175,6 +182,11 @@ ORACLES: dict[str, str] = {
           string_agg(ms || ':' || cents, ',' ORDER BY ms, event_id) AS payload FROM c GROUP BY __name__, event_type, user_id, b)
         SELECT dense_rank() OVER (ORDER BY __name__, event_type, user_id) - 1 AS __series__id, __mint, __maxt, payload,
           __name__, event_type, user_id FROM g""",
+    "sample_chunks": f"""WITH c AS (SELECT *, min(ms) OVER (PARTITION BY __name__, event_type, user_id, b) AS a FROM ({_CELLS}) WHERE cents IS NOT NULL),
+        g AS (SELECT __name__, event_type, user_id, min(ms) AS __mint, max(ms) AS __maxt,
+          string_agg((ms - a) || ':' || cents, ',' ORDER BY ms, CAST(cents AS VARCHAR)) AS payload FROM c GROUP BY __name__, event_type, user_id, b)
+        SELECT dense_rank() OVER (ORDER BY __name__, event_type, user_id) - 1 AS __series__id, __mint, __maxt, payload,
+          __name__, event_type, user_id FROM g""",
     "read_chunk_bytes": """SELECT __series__id, __mint, CAST(coalesce(octet_length(__chunk_bytes), 0) AS BIGINT) AS n_bytes
         FROM chunks WHERE job = 'replayer'""",
     "decode_readings": f"""WITH {READINGS} SELECT series_id, count(*) AS n, min(t) AS first_t, max(t) AS last_t, max(v) AS max_v

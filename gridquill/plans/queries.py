@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.payload import readings
 from ..operators import drift, grid, periods, scan, skew, wide
 from ..operators.distinct import unique_by
-from ..operators.projection import project
+from ..operators.projection import arrow_batches, project
 from ..operators.scan import Predicate, equals, gte, lte
 from ..operators.series import ChunkEngine, assign_series_ids
 from ..schema import MAXT, MINT, NAME, PAYLOAD, SERIES, label, make_chunk_rows
 from ..session import shared_dir
 from ..sinks.writer import compact, write_parts
+from ..sources.samples import samples_to_chunks
 from ..sources.tables import epoch_ms, table
 from .promql import range_query
 
@@ -52,6 +53,13 @@ def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return assign_series_ids(rows, keys).select(*_IDS, "payload", *keys)
 
 
+def sample_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The conversion path: samples to chunk rows, payloads as text."""
+    samples = _events_samples(spark, d).select(NAME, "event_type", "user_id", F.col("ms").alias("ts_ms"), F.col("cents").cast("double").alias("value"))
+    rows = samples_to_chunks(samples, [NAME, "event_type", "user_id"], decimals=0)
+    return rows.withColumn("payload", F.decode(PAYLOAD, "UTF-8")).drop(PAYLOAD)
+
+
 def scan_equals(spark: SparkSession, d: str) -> DataFrame:
     return scan.scan(_index(spark, d), [equals("job", "ingest")]).select(*_IDS, "namespace")
 
@@ -131,6 +139,12 @@ def project_missing_skipped(spark: SparkSession, d: str) -> DataFrame:
     return project(_index(spark, d), ["no_such_label", "namespace", SERIES])
 
 
+def project_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that come in batches of at most 4,096, and whether any batch is larger."""
+    cut = arrow_batches(project(_index(spark, d), ["pod", SERIES]), 4_096)
+    return cut.agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 4_096).alias("bounded"))
+
+
 def unique_by_column(spark: SparkSession, d: str) -> DataFrame:
     rows = _index(spark, d).where(F.col(MAXT).isNotNull()).select("instance", MINT, MAXT, SERIES)
     return unique_by(rows, "instance", [MINT, MAXT, SERIES])
@@ -145,6 +159,11 @@ def select_series_grouping(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed(SERIES, "series_id")
 
 
+def select_series_ordered(spark: SparkSession, d: str) -> DataFrame:
+    out = ChunkEngine(_index(spark, d), T0, T1).select_series_ordered([equals("job", "ingest")], ["namespace"])
+    return out.withColumnRenamed(SERIES, "series_id")
+
+
 def select_series_overlap(spark: SparkSession, d: str) -> DataFrame:
     out = ChunkEngine(_index(spark, d), T0, T0 + 3_600_000, mode="overlap").select_series([], ["job"])
     return out.withColumnRenamed(SERIES, "series_id")
@@ -267,8 +286,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     scan_equals, scan_equals_absent, scan_gte, scan_lte, scan_time_range, scan_string_gte, scan_string_lte,
     scan_conjunction, scan_missing_column_ignored, scan_missing_column_empty, scan_not_equals, scan_regex,
     scan_not_regex, label_empty_string, selection_num_rows, row_range_pick, row_range_skip, project_columns,
-    project_missing_skipped, unique_by_column, select_series, select_series_grouping, select_series_overlap,
-    label_values, label_names, series_ids, make_rows, chunk_rows, read_chunk_bytes, decode_readings,
+    project_missing_skipped, unique_by_column, project_batches, select_series, select_series_grouping, select_series_overlap, select_series_ordered,
+    label_values, label_names, series_ids, make_rows, chunk_rows, sample_chunks, read_chunk_bytes, decode_readings,
     write_roundtrip, compact_roundtrip,
 )} | {
     "promql_sum": _prom('sum(beacon_retry_total{namespace!="lab"})'),

@@ -23,9 +23,17 @@ def chunk_schema(label_names: Iterable[str]) -> T.StructType:
 
 
 def label_columns(df: DataFrame) -> list[str]:
-    """The label columns of a chunk table, ascending."""
+    """The label columns of a chunk table, ascending: text, or bytes where a writer gave no text annotation."""
     taken = {*FIXED, *BOOKKEEPING}
-    return sorted(f.name for f in df.schema if f.name not in taken and isinstance(f.dataType, T.StringType))
+    return sorted(f.name for f in df.schema if f.name not in taken and isinstance(f.dataType, (T.StringType, T.BinaryType)))
+
+
+def text_labels(df: DataFrame) -> DataFrame:
+    """``df`` with labels that are stored as bytes read as text; all other columns stay."""
+    stored = {f.name for f in df.schema if isinstance(f.dataType, T.BinaryType)} & {*label_columns(df)}
+    if not stored:
+        return df
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in stored else F.col(f"`{c}`") for c in df.columns])
 
 
 def clustering_key(columns: Iterable[str]) -> list[str]:

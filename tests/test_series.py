@@ -45,6 +45,18 @@ def test_select_series_and_labels(spark):
     assert ChunkEngine(engine.chunks, 1, 59_999).select([]).count() == 0
 
 
+@pytest.mark.parametrize("series,expected", [
+    ([("api-server", "0")], [("0", "0")]),
+    (THREE, [("0", "0"), ("2", "0"), ("1", "1")]),
+    ([(j, i) for j in ("api-server", "kubelet") for i in "012"], [("0", "0"), ("3", "0"), ("1", "1"), ("4", "1"), ("2", "2"), ("5", "2")]),
+])
+def test_series_come_in_the_order_of_the_sorted_table(spark, series, expected):
+    engine = ChunkEngine(chunks(spark, series).repartition(5), 0, 10**9)
+    got = engine.select_series_ordered([equals("__name__", "http_requests_total")], ["instance"]).collect()
+    assert [tuple(r) for r in got] == [(i, *e) for i, e in enumerate(expected)]
+    assert engine.select_series_ordered([equals("job", "none")]).count() == 0
+
+
 @pytest.mark.parametrize("bad", ["sum(", "sum by x (y)", "{a~\"b\"}", "{}", "a b", "sum(x) by", "{a=b}", ""])
 def test_bad_queries(bad):
     with pytest.raises(QueryError):

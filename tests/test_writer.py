@@ -1,10 +1,11 @@
 import glob
+import os
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from gridquill.schema import clustering_key
-from gridquill.sinks.writer import compact, write_parts
+from gridquill.sinks.writer import compact, conform, layout_options, write_parts
 from support import rows
 
 
@@ -28,5 +29,20 @@ def test_parts_and_compaction(spark, tmp_path):
     assert len(files) == 2
     keys = [tuple(r[k] for k in key) for f in files for r in f]
     assert keys == sorted(keys)
+    first = pq.ParquetFile(sorted(glob.glob(f"{tmp_path}/whole/*.parquet"))[0])
+    assert [c.name for c in first.schema_arrow if not c.nullable] == ["__chunk_bytes", "__name__", "job", "zone"]
+    assert first.metadata.row_group(0).column(5).dictionary_page_offset is None  # job: a filter instead
     meta = pq.ParquetFile(sorted(glob.glob(f"{tmp_path}/whole/*.parquet"))[0]).metadata.row_group(0).column(1)
     assert "DELTA_BINARY_PACKED" in meta.encodings and meta.compression == "ZSTD"
+
+
+def test_labels_have_filters_by_default(spark, tmp_path):
+    df = spark.range(40_000).select(F.col("id").alias("__series__id"), F.col("id").alias("__mint"), F.col("id").alias("__maxt"), F.lit("m").alias("__name__"),
+                                    F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit("x")).alias("pod"), F.lit("j").alias("job"))
+    write_parts(df.coalesce(1), f"{tmp_path}/t", ["__name__", "job", "pod"])
+    options = layout_options(conform(df, ["pod", "job"]))
+    assert {k for k in options if k.startswith("parquet.bloom.filter.enabled#")} == {f"parquet.bloom.filter.enabled#{c}" for c in ("pod", "job")}
+    (path,) = glob.glob(f"{tmp_path}/t/*.parquet")
+    columns = {(c := pq.ParquetFile(path).metadata.row_group(0).column(i)).path_in_schema: c for i in range(7)}
+    assert "PLAIN" in str(columns["pod"].encodings) or "DELTA" in str(columns["pod"].encodings)  # outgrew the dictionary
+    assert os.path.getsize(path) > sum(columns[c].total_compressed_size for c in columns) + 10_000  # so its filter is there
