@@ -41,6 +41,11 @@ def test_against_brute_force(spark):
     got = rows(regular_grid(df, dim, slot_ms=20, hold=2.0), COLUMNS)
     want = brute({1: points[1]}, 20, 60) + brute({k: points[k] for k in (2, None)}, 20, 40)
     assert got == sorted(want)
+    from gridquill.operators import grid
+
+    old, grid.BLOCK_SLOTS = grid.BLOCK_SLOTS, 3  # many blocks, some of them empty
+    assert rows(regular_grid(df, dim, slot_ms=20, hold=2.0), COLUMNS) == got
+    grid.BLOCK_SLOTS = old
 
 
 def test_ties_and_nothing_usable(spark):
@@ -50,3 +55,11 @@ def test_ties_and_nothing_usable(spark):
     got = regular_grid(spark.createDataFrame(data, SCHEMA), slot_ms=50).collect()
     assert sorted((r.series_id, r.slot_ms, r.n_readings, r.value, r.status) for r in got) == [(1, 0, 1, 3.0, "observed"), (1, 50, 1, 9.0, "observed")]
     assert regular_grid(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_reading_far_off(spark):
+    """Fifty years between two readings: some 26 million cells, never in one array."""
+    far = 26_297_280 * 60_000
+    df = spark.createDataFrame([(1, 0, far, f"0:1,{far}:2".encode(), None)], SCHEMA)
+    got = regular_grid(df).groupBy("status").agg(F.count("*").alias("n"), F.min("slot_ms").alias("a"), F.max("slot_ms").alias("b")).collect()
+    assert {(r.status, r.n, r.a, r.b) for r in got} == {("observed", 2, 0, far), ("filled", 2, 60_000, 120_000), ("missing", 26_297_277, 180_000, far - 60_000)}
