@@ -15,6 +15,8 @@ _UNDERSCORED = r"^[+-]?[0-9]+(?:_[0-9]+)+(?:\.[0-9]*)?$"
 _INSTANT = (r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})"
             r"(?:[Tt ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?)?"
             r"\s*([Zz]|UTC|GMT|[+-][0-9]{2}(?::?[0-9]{2})?)?$")
+#: Instants of the years 1 to 9999, the ones that can be written; ms.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 #: Bare numbers from here on are epoch milliseconds, below it seconds.
 _MILLIS_FROM = 100_000_000_000
 

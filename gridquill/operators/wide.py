@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parse
-from ..session import cut_lineage, ship
+from ..session import ship
 
-#: The catalogue is held by every task; more names than this are refused.
-CATALOG_BOUND = 10_000
+#: Rows per reduce task.
+ROWS_PER_TASK = 250_000
 #: Column of the wide table for labels outside the catalogue.
 OTHER = "other_labels"
 
@@ -35,11 +34,11 @@ def _encoders() -> dict:
 
 
 def read_catalog(catalog: DataFrame) -> list[tuple[str, str, str]]:
-    """``(key, name, type)`` per catalogue entry, one per key (the smallest name)."""
-    rows = (catalog.where(F.col("label_name").isNotNull())
-            .select(name_key(F.col("label_name")).alias("k"), "label_name", "label_type").limit(CATALOG_BOUND + 1).collect())
-    if len(rows) > CATALOG_BOUND:
-        raise ValueError(f"the catalogue has more than {CATALOG_BOUND} names")
+    """``(key, name, type)`` per catalogue entry, one per key (the smallest name).
+
+    Every entry is a column of the wide table, so this is as large as its schema.
+    """
+    rows = catalog.where(F.col("label_name").isNotNull()).select(name_key(F.col("label_name")).alias("k"), "label_name", "label_type").distinct().collect()
     out: dict[str, tuple[str, str, str]] = {}
     for k, name, kind in sorted(tuple(r) for r in rows):
         if kind not in _TYPES:
@@ -64,29 +63,29 @@ def wide_table(rows: DataFrame, catalog: DataFrame, entity: str = "series_id", r
     ``combineByKey`` over slot registers: each map task keeps one register per
     entity and label, mergers are associative, so only settled registers are
     shuffled and a hot entity costs each task one register set.  Text is parsed
-    before that, in the JVM.
+    before that, in the JVM; there are as many reduce tasks as the rows, counted, need.
     """
     entries = read_catalog(catalog)
-    key = name_key(F.col(name))
-
-    def of(pairs: Sequence[tuple[str, str]]) -> Column:
-        if not pairs:
-            return F.lit(None).cast("string")
-        return F.create_map(*[F.lit(x) for kv in pairs for x in kv])[key]
-
+    spark = rows.sparkSession
     # catalogue slots are numbered; other labels go by their spelling after a mark
-    slot = F.when(F.coalesce(F.col(name), F.lit("")) == "", F.lit(None)).otherwise(
-        F.coalesce(of([(k, f"c{i}") for i, (k, _, _) in enumerate(entries)]), F.concat(F.lit("o"), F.col(name))))
-    kind = F.coalesce(of([(k, t) for k, _, t in entries]), F.lit("string"))
-    text = F.col(value)
+    slots = spark.createDataFrame([(k, f"c{i}", t) for i, (k, _, t) in enumerate(entries)], "_key string, _slot string, _kind string")
+    given = rows.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{row_id}`").cast("long").alias("row"), F.col(f"`{name}`").alias("name"),
+                        F.col(f"`{value}`").alias("text"), F.col(f"`{seen}`").alias("seen"))
+    # broadcast: the catalogue is as small as the wide table's schema
+    matched = given.join(F.broadcast(slots), name_key(F.col("name")) == F.col("_key"), "left")
+    slot = F.when(F.coalesce(F.col("name"), F.lit("")) == "", F.lit(None)).otherwise(F.coalesce("_slot", F.concat(F.lit("o"), F.col("name"))))
+    kind, text = F.coalesce("_kind", F.lit("string")), F.col("text")
     cell = (F.when(kind == "string", parse.stripped(text))
             .when(kind == "bigint", parse.to_bigint(text).cast("string"))
             .when(kind == "double", parse.to_double(text).cast("string"))
             .when(kind == "boolean", parse.to_boolean(text).cast("string"))
             .when(kind == "timestamp", parse.to_epoch_ms(text).cast("string")))
-    order = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{seen}`)")
-    cells = rows.select(F.col(entity).alias("e"), slot.alias("slot"), F.coalesce(order, F.lit(_OLDEST)).alias("at"),
-                        F.coalesce(F.col(row_id).cast("long"), F.lit(_OLDEST)).alias("row"), cell.alias("cell"))
+    order = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', seen)")
+    cells = matched.select("e", slot.alias("slot"), F.coalesce(order, F.lit(_OLDEST)).alias("at"),
+                           F.coalesce("row", F.lit(_OLDEST)).alias("row"), kind.alias("kind"), cell.alias("cell"))
+    # instants of no year that can be written are unreadable
+    odd = (F.col("kind") == "timestamp") & ~F.col("cell").try_cast("bigint").between(parse.FIRST_MS, parse.LAST_MS)
+    cells = cells.select("e", "slot", "at", "row", F.when(~F.coalesce(odd, F.lit(False)), F.col("cell")).alias("cell"))
 
     def create(c: tuple) -> dict:
         return {c[0]: c[1:]} if c[0] is not None else {}
@@ -110,11 +109,10 @@ def wide_table(rows: DataFrame, catalog: DataFrame, entity: str = "series_id", r
                 a[s] = c
         return a
 
-    spark = rows.sparkSession
     ship(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # parsed once and kept in the shared folder: the RDD stages can be retried from there
-    registers = cut_lineage(cells).rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4]))).combineByKey(
+    fewest = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = max(fewest, -(-rows.count() // ROWS_PER_TASK))
+    registers = cells.rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4]))).combineByKey(
         create, merge_cell, merge_registers, numPartitions=partitions)
     kinds = [t for _, _, t in entries]
 

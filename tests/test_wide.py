@@ -32,6 +32,19 @@ def test_latest_row_decides(spark):
     assert cells(spark, data) == {(1, "port", "81"), (1, "zone", "b"), (5, "My-Own", "x"), (5, "my-own", "y"), (None, "zone", "n")}
 
 
+def test_absurd_instants_are_unreadable(spark):
+    data = [(1, 1, "deployed_at", "99999999999999999", None), (2, 2, "deployed_at", "9999-12-31T23:59:59Z", None), (3, 3, "deployed_at", "-99999999999999999", None),
+            (4, 4, "deployed_at", "0001-01-01", None), (5, 5, "deployed_at", "9" * 60, None), (6, 6, "deployed_at", "253402300800000", None)]
+    assert cells(spark, data) == {(2, "deployed_at", "253402300799000"), (4, "deployed_at", "-62135596800000")}
+
+
+def test_a_catalogue_of_many_names(spark):
+    many = spark.createDataFrame([(f"n{i}", "bigint") for i in range(1500)], "label_name string, label_type string")
+    data = spark.createDataFrame([(i, 1, f"N-{i}", str(i), None) for i in range(1500)], SCHEMA)
+    wide = wide_table(data, many)
+    assert len(wide.columns) == 1502 and wide.first().n1499 == 1499
+
+
 def test_wide_rows_are_typed(spark):
     data = [(1, 1, "load weight", "79e-3", None), (2, 1, "Deployed.At", "1707108150", None), (3, 1, "PAGED", "off", None), (4, 2, None, None, None)]
     df = wide_table(spark.createDataFrame(data, SCHEMA), catalog(spark))
