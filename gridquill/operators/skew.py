@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
@@ -14,6 +14,8 @@ from ..session import cut_lineage
 HEAVY_SHARE = 0.01
 #: A key of this many rows is heavy whatever its share; it bounds the groups of the others.
 HEAVY_ROWS = 2_000_000
+#: Heavy keys up to this many are broadcast (checked by counting); beyond it all keys are treated as heavy.
+LIST_ROWS = 200_000
 #: Rows drawn, at least, to detect heavy keys, and a heavy key's least rows among those drawn.
 DETECTION_ROWS = 200_000
 LEAST_DRAWN = 20
@@ -24,18 +26,18 @@ SLICE_MS = 3_600_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, rows: int = DETECTION_ROWS,
-               seed: int = 17, stack: Sequence[Column] = ()) -> DataFrame:
-    """Keys that seem to hold ``share`` of ``df`` or ``HEAVY_ROWS`` rows, found in a random sample.
+               seed: int = 17, stack: Sequence[Column] = (), most_rows: int | None = HEAVY_ROWS) -> DataFrame:
+    """Keys that seem to hold ``share`` of ``df`` or ``most_rows`` rows, found in a random sample.
 
     The sample steers the plan only; results are the same whatever it says.
     ``stack`` turns each drawn row into several ``(kind, key)`` rows, as
-    structs.  A listed key has at least ``LEAST_DRAWN`` rows in the sample, so
-    the list has at most ``drawn * len(stack) / LEAST_DRAWN`` rows whatever the
-    data: that bound is what allows it to be broadcast.  Null keys can be
-    heavy too.  The list is written to the shared folder, being used more than once.
+    structs.  Without ``most_rows`` the list has about ``1 / share`` keys per
+    kind at most, whatever the data, and may be broadcast; with it the list
+    grows with the rows, and callers check its size.  Null keys can be heavy
+    too.  The list is written to the shared folder, being used more than once.
     """
     total = df.count()
-    least = max(1.0, min(share * total, HEAVY_ROWS))
+    least = max(1.0, share * total if most_rows is None else min(share * total, most_rows))
     fraction = min(1.0, max(rows / max(total, 1), LEAST_DRAWN / least))
     drawn = df if fraction >= 1.0 else df.sample(fraction=fraction, seed=seed)
     drawn = drawn.select(F.inline(F.array(*stack))) if stack else drawn.select(*keys)
@@ -50,8 +52,13 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], names: Sequenc
     return condition
 
 
-def mark_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame, flag: str = "_heavy") -> DataFrame:
-    """``df`` with a boolean column: whether the row's key is in the (bounded) heavy list."""
+def mark_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame | None, flag: str = "_heavy") -> DataFrame:
+    """``df`` with a boolean column: whether the row's key is in the heavy list, which must be of a checked size.
+
+    No list means that all keys are to be treated as heavy.
+    """
+    if heavy is None:
+        return df.withColumn(flag, F.lit(True))
     names = [f"_h{i}" for i in range(len(keys))]
     listed = F.broadcast(heavy.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.lit(True).alias("_in")))
     joined = df.join(listed, _same(df, listed, keys, names), "left")
@@ -64,12 +71,14 @@ def lookup(fact: DataFrame, dim: DataFrame, key: str, values: Sequence[str], bou
 
     Up to ``bound`` rows (counted) ``dim`` is broadcast.  Beyond it the rows of
     heavy keys meet a broadcast of just those keys' rows and the others are
-    joined by an ordinary shuffle.
+    joined by an ordinary shuffle.  There ``fact`` is written to the shared
+    folder first, since detection and both branches start from it.
     """
     small = dim.select(F.col(dim_key or key).alias("_k"), *values)
     if small.limit(bound + 1).count() <= bound:
         return fact.join(F.broadcast(small), fact[key] == F.col("_k"), "left").drop("_k")
-    heavy = heavy_keys(fact, [key], share)
+    fact = cut_lineage(fact)
+    heavy = heavy_keys(fact, [key], share, most_rows=None)
     marked = mark_heavy(fact, [key], heavy)
     of_heavy = small.join(F.broadcast(heavy.select(F.col(key).alias("_hk"))), F.col("_k") == F.col("_hk"), "left_semi")
     hot = marked.where("_heavy").join(F.broadcast(of_heavy), F.col(key) == F.col("_k"), "left")
@@ -81,24 +90,9 @@ def _merge(starts: str, ends: str) -> list[Column]:
     return [I.period_starts(F.col(starts), F.col(ends)).alias("ss"), I.period_ends(F.col(starts), F.col(ends)).alias("es")]
 
 
-def _slices(slice_ms: int) -> Column:
-    """Slice numbers that an interval ``(s, e)`` touches; one at least."""
-    last = F.greatest(F.floor(F.col("s") / slice_ms), F.ceil(F.col("e") / slice_ms) - 1)
-    return F.sequence(F.floor(F.col("s") / slice_ms), last)
-
-
-def _clip(df: DataFrame, keys: Sequence[str], slice_ms: int) -> DataFrame:
-    """Cut intervals ``(s, e)`` at slice bounds, so that covered time adds up over slices.
-
-    Rows without an interval stay, in no slice; they carry totals once.
-    """
-    cut = df.select(*keys, "s", "e", F.explode_outer(_slices(slice_ms)).alias("slice"))
-    low, high = F.col("slice") * slice_ms, (F.col("slice") + 1) * slice_ms
-    return cut.select(*keys, "slice", F.greatest(F.col("s"), low).alias("s"), F.least(F.col("e"), high).alias("e"))
-
-
 def span_summary(df: DataFrame, entity: str, labels: Sequence[str], start: str, end: str,
-                 share: float = HEAVY_SHARE, slice_ms: int = SLICE_MS, detection_rows: int = DETECTION_ROWS) -> DataFrame:
+                 share: float = HEAVY_SHARE, slice_ms: int = SLICE_MS, detection_rows: int = DETECTION_ROWS,
+                 list_rows: int = LIST_ROWS) -> DataFrame:
     """Rows, first start, last end and covered time per entity and per label value.
 
     Result: ``key_kind`` (the entity's column name or the label's), ``key_value``
@@ -110,11 +104,16 @@ def span_summary(df: DataFrame, entity: str, labels: Sequence[str], start: str,
     ``''``; a null entity is a key of its own.  An empty table gives no rows.
     Columns of other names, whatever they are, are not read.
 
-    Two rounds, the same in both: heavy keys (sampled) are cut into time
-    slices, so that their rows spread over tasks and are merged before they
-    meet; the others are merged whole after an ordinary shuffle; the two are
-    put together.  The first round merges per entity, since most of a key's
+    Two rounds, the same in both: heavy keys (sampled) are cut by the time
+    slice that intervals start in, so that their rows spread over tasks and are
+    merged before they meet; the others are merged whole after an ordinary
+    shuffle; the two are put together.  The first round merges per entity, since most of a key's
     rows repeat its entities; the second per key.
+
+    No group is larger than a task's input: intervals of heavy keys are merged
+    per map task (and slice) before those of several tasks meet, and a light
+    key has some ``HEAVY_ROWS`` rows at most.  Should there be more heavy keys
+    than ``list_rows``, too many to broadcast, every key is treated as heavy.
     """
     names = [f"l{i}" for i in range(len(labels))]
     rows = df.select(
@@ -124,38 +123,50 @@ def span_summary(df: DataFrame, entity: str, labels: Sequence[str], start: str,
     # The key of each kind that a row belongs to.
     kinds = [F.struct(F.lit(entity).alias("kind"), F.col("k").cast("string").alias("key"))]
     kinds += [F.struct(F.lit(c).alias("kind"), F.col(n).alias("key")) for c, n in zip(labels, names)]
-    heavy = heavy_keys(rows, ["kind", "key"], share, detection_rows, stack=kinds)
+    heavy: DataFrame | None = heavy_keys(rows, ["kind", "key"], share, detection_rows, stack=kinds)
+    if heavy.limit(list_rows + 1).count() > list_rows:
+        heavy = None
     kept = ["k", *names]
     sound = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") <= F.col("b"))
-    marked = mark_heavy(rows, ["k"], heavy.where(F.col("kind") == entity).select(F.col("key").cast(rows.schema["k"].dataType).alias("k")))
-    # A heavy entity's rows are grouped by the slice they start in; the others' share one group.
-    sliced = marked.withColumn("slot", F.when(F.col("_heavy"), F.floor(F.coalesce("a", "b") / slice_ms)))
-    pieces = sliced.groupBy(*kept, "slot").agg(
+    marked = mark_heavy(rows, ["k"], None if heavy is None else heavy.where(F.col("kind") == entity).select(
+        F.col("key").cast(rows.schema["k"].dataType).alias("k")))
+    # A heavy entity's rows are grouped by map task and by the slice they start in; the others' share one group.
+    sliced = marked.withColumns({"slot": F.when(F.col("_heavy"), F.floor(F.coalesce("a", "b") / slice_ms)),
+                                 "task": F.when(F.col("_heavy"), F.spark_partition_id())})
+    pieces = sliced.groupBy(*kept, "slot", "task").agg(
         F.count(F.lit(1)).alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi"),
         I.sorted_bounds(F.when(sound, F.col("a"))).alias("s0"), I.sorted_bounds(F.when(sound, F.col("b"))).alias("e0"))
     pieces = pieces.select(*kept, "n", "lo", "hi", *_merge("s0", "e0"))
 
-    stacked = pieces.select(F.inline(F.array(*kinds)), "n", "lo", "hi", "ss", "es")
-    again = mark_heavy(stacked, ["kind", "key"], heavy)
-
-    light = again.where("not _heavy").groupBy("kind", "key").agg(
-        F.sum("n").alias("n_rows"), F.min("lo").alias("first_start"), F.max("hi").alias("last_end"),
-        F.sort_array(F.flatten(F.collect_list("ss"))).alias("s0"), F.sort_array(F.flatten(F.collect_list("es"))).alias("e0"))
-    light = light.select("kind", "key", "n_rows", "first_start", "last_end",
-                         I.covered_length(F.col("s0"), F.col("e0")).alias("covered_ms"))
-
-    # Totals and intervals travel together, so that the first round's shuffle is read by both branches alike.
-    none = F.lit(None).cast("long")
-    intervals = F.transform(F.arrays_zip(F.col("ss").alias("s"), F.col("es").alias("e")), lambda x: F.struct(
-        F.lit(0).cast("long").alias("n"), none.alias("lo"), none.alias("hi"), x["s"].alias("s"), x["e"].alias("e")))
-    whole = F.array(F.struct("n", "lo", "hi", none.alias("s"), none.alias("e")))
-    parts = again.where("_heavy").select("kind", "key", F.inline(F.concat(whole, intervals)))
-    slices = _clip(parts, ["kind", "key", "n", "lo", "hi"], slice_ms).groupBy("kind", "key", "slice").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        I.sorted_bounds(F.col("s")).alias("s0"), I.sorted_bounds(F.col("e")).alias("e0"))
-    hot_rows = slices.groupBy("kind", "key").agg(
-        F.sum("n").alias("n_rows"), F.min("lo").alias("first_start"), F.max("hi").alias("last_end"),
-        F.sum(I.covered_length(F.col("s0"), F.col("e0"))).alias("covered_ms"))
-    both = light.unionByName(hot_rows)
-    return both.select(F.col("kind").alias("key_kind"), F.col("key").alias("key_value"), "n_rows", "first_start",
-                       "last_end", "covered_ms")
+    stacked = mark_heavy(pieces.select(F.inline(F.array(*kinds)), "n", "lo", "hi", "ss", "es"), ["kind", "key"], heavy)
+    # A light key's piece stays one row; a heavy key's is a row per interval, in the slice it starts in, totals with the first.
+    none, nothing = F.lit(None).cast("long"), F.lit(None).cast("array<bigint>")
+    slice_of = lambda x: F.floor(x / slice_ms).alias("slice")
+    first_s, first_e = F.get("ss", F.lit(0)), F.get("es", F.lit(0))
+    single = F.array(F.struct(F.when(F.col("_heavy"), slice_of(first_s)).alias("slice"), "n", "lo", "hi", first_s.alias("s"), first_e.alias("e"),
+                              nothing.alias("ss"), nothing.alias("es")))
+    whole = F.array(F.struct(none.alias("slice"), "n", "lo", "hi", none.alias("s"), none.alias("e"), F.col("ss").alias("ss"), F.col("es").alias("es")))
+    intervals = F.transform("ss", lambda x, i: F.struct(
+        slice_of(x), F.when(i == 0, F.col("n")).otherwise(F.lit(0)).alias("n"), F.when(i == 0, F.col("lo")).alias("lo"), F.when(i == 0, F.col("hi")).alias("hi"),
+        x.alias("s"), F.get("es", i).alias("e"), nothing.alias("ss"), nothing.alias("es")))
+    parts = stacked.select("kind", "key", "_heavy", F.when(F.col("_heavy"), F.spark_partition_id()).alias("task"),
+                           F.inline(F.when(F.size("ss") <= 1, single).when(F.col("_heavy"), intervals).otherwise(whole)))
+    every = lambda one, several: F.sort_array(F.concat(F.collect_list(one), F.flatten(F.collect_list(several))))
+    sums = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    met = parts.groupBy("kind", "key", "slice", "task").agg(
+        F.max("_heavy").alias("cut"), *sums, every("s", "ss").alias("s0"), every("e", "es").alias("e0"))
+
+    # Both branches read one shuffle: "cut" is an aggregate, so the filters stay above it.
+    light = met.where("not cut").select("kind", "key", "n", "lo", "hi", I.covered_length(F.col("s0"), F.col("e0")).alias("covered"))
+    by_slice = met.where("cut").select("kind", "key", "slice", "n", "lo", "hi", *_merge("s0", "e0")).groupBy("kind", "key", "slice").agg(
+        *sums, F.sort_array(F.flatten(F.collect_list("ss"))).alias("s0"), F.sort_array(F.flatten(F.collect_list("es"))).alias("e0"))
+    periods = by_slice.select("kind", "key", "slice", "n", "lo", "hi", *_merge("s0", "e0"))
+    # a slice's periods cover what they have beyond the latest end of earlier slices; a few rows per heavy key
+    before = Window.partitionBy("kind", "key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.get("es", F.size("es") - 1)).over(before)
+    beyond = F.aggregate(F.arrays_zip(F.col("ss").alias("s"), F.col("es").alias("e")), F.lit(0).cast("long"),
+                         lambda total, x: total + F.greatest(x["e"] - F.greatest(x["s"], F.col("reach")), F.lit(0).cast("long")))
+    hot = periods.withColumn("reach", reach).withColumn("c", beyond).groupBy("kind", "key").agg(*sums, F.sum("c").alias("covered"))
+    return light.unionByName(hot).select(
+        F.col("kind").alias("key_kind"), F.col("key").alias("key_value"), F.col("n").alias("n_rows"), F.col("lo").alias("first_start"),
+        F.col("hi").alias("last_end"), F.col("covered").alias("covered_ms"))

@@ -39,8 +39,8 @@ def made(n=600):
 def test_split_paths_agree_with_brute_force(spark):
     data = made()
     df = spark.createDataFrame(data, SCHEMA).withColumns({c: F.lit("?") for c in ("k", "kind", "key", "s", "e", "_heavy", "l0")})
-    for share, slice_ms in ((0.02, 100), (0.02, 10_000), (2.0, 100)):
-        got = span_summary(df, "id", ["l", "m"], "a", "b", share=share, slice_ms=slice_ms)
+    for share, slice_ms, listed in ((0.02, 100, 1000), (0.02, 10_000, 1000), (2.0, 100, 1000), (0.02, 300, 2)):
+        got = span_summary(df, "id", ["l", "m"], "a", "b", share=share, slice_ms=slice_ms, list_rows=listed)
         assert rows(got, COLUMNS) == brute(data)
 
 
@@ -52,6 +52,11 @@ def test_heavy_keys_are_bounded(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
     assert [r.k for r in heavy_keys(df, ["k"], 0.1).collect()] == [7]
     assert heavy_keys(df.limit(0), ["k"]).count() == 0
+    # whatever the number of rows, 1 / share keys per kind, all of about that share
+    many = spark.range(400_000).select((F.col("id") % 40).alias("a"), (F.col("id") % 100_000).alias("b"))
+    kinds = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("key")) for c in ("a", "b")]
+    listed = heavy_keys(many, ["kind", "key"], 0.02, rows=20_000, stack=kinds, most_rows=None).collect()
+    assert {r.kind for r in listed} == {"a"} and len(listed) <= 50
 
 
 def test_lookup_beyond_the_broadcast_bound(spark):
