@@ -2,70 +2,99 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, ship, spread
 
 #: Keys of a record that are no label columns.
 FIXED_KEYS = ("__series__id", "__mint", "__maxt", "__name__")
 #: Share of comparable series whose value must agree for a rename.
 RENAME_SHARE = 0.75
-_TYPES = ("string", "integer", "decimal", "boolean")
+#: Files up to which their routes are broadcast (checked by counting); beyond it records are joined by file.
+ROUTE_FILES = 20_000
+_TYPES = ("string", "decimal", "boolean", "integer")
 
 
-def label_cells(rows: DataFrame, *keep: str) -> DataFrame:
-    """``(writer_id, part_no, row_no, keep..., sid, label, kind, value)``: one row per label in a record.
+def _writer_key(writer: Column) -> Column:
+    """A writer as text that is never null, so that plain equality will do in joins; the null writer is ``''``."""
+    return F.coalesce(F.concat(F.lit("w"), writer.cast("string")), F.lit(""))
+
+
+def _writer(key: Column, kind: T.DataType) -> Column:
+    return F.when(key != "", F.substring(key, 2, 1 << 30)).cast(kind)
+
+
+def _kind(t: Column, value: Column) -> Column:
+    """The JSON type of a variant's schema; null where the value is missing (null or ``''``)."""
+    return (F.when(t == "VOID", F.lit(None)).when(t == "BIGINT", "integer").when(t.startswith("DECIMAL") | (t == "DOUBLE"), "decimal")
+            .when(t == "BOOLEAN", "boolean").when(value == "", F.lit(None)).otherwise("string"))
 
-    ``kind`` is the JSON type, null where the value is missing (null or ``''``);
-    ``value`` is the value's text.  Objects and arrays count as strings.
-    """
-    parsed = rows.select("writer_id", "part_no", "row_no", *keep, F.from_json("record", "map<string,variant>").alias("m"))
-    sid = F.expr(
-        f"try_variant_get(m['{FIXED_KEYS[0]}'], '$', 'bigint')")
-    cells = parsed.select("writer_id", "part_no", "row_no", *keep, sid.alias("sid"), F.explode("m").alias("label", "v"))
-    cells = cells.where(~F.col("label").isin(*FIXED_KEYS)).select(
-        "writer_id", "part_no", "row_no", *keep, "sid", "label", F.schema_of_variant("v").alias("t"),
-        F.expr("try_variant_get(v, '$', 'string')").alias("value"))
-    t = F.col("t")
-    kind = (F.when(t == "VOID", F.lit(None)).when(t == "BIGINT", "integer").when(t.startswith("DECIMAL") | (t == "DOUBLE"), "decimal")
-            .when(t == "BOOLEAN", "boolean").when(F.col("value") == "", F.lit(None)).otherwise("string"))
-    return cells.select("writer_id", "part_no", "row_no", *keep, "sid", "label", kind.alias("kind"), "value")
+
+def canonical(value: Column) -> Column:
+    """A value's text however typed: numbers by value, words in lower case."""
+    # words are told by their first letter, since a cast that fails costs an exception
+    number = F.when(value.rlike(r"^\s*[+-]?[0-9.nNiI]"), value.try_cast("double"))
+    return F.coalesce(number.cast("string"), F.lower(F.trim(value)))
 
 
 def label_votes(rows: DataFrame) -> DataFrame:
-    """``(writer_id, part_no, label, sid, kind, value, n)``: how often a series has a value in a part.
+    """``(w, part_no, label, sid, kind, value, n)``: how often a series has a value in a part.
 
     Everything a comparison of parts needs, in one pass over the records; it is
-    written to the shared folder, since several joins start from it.
+    written to the shared folder, since several stages start from it.  ``w`` is
+    the writer as text, ``kind`` the JSON type (null: the value is missing);
+    objects and arrays count as strings.
     """
-    cells = label_cells(spread(rows))
-    return cut_lineage(cells.groupBy("writer_id", "part_no", "label", "sid", "kind", canonical(F.col("value")).alias("value")).agg(
-        F.count(F.lit(1)).alias("n")))
+    parsed = spread(rows).select(_writer_key(F.col("writer_id")).alias("w"), "part_no", F.from_json("record", "map<string,variant>").alias("m"))
+    sid = F.expr(f"try_variant_get(m['{FIXED_KEYS[0]}'], '$', 'bigint')")
+    cells = parsed.where("part_no is not null").select("w", "part_no", sid.alias("sid"), F.explode("m").alias("label", "v"))
+    cells = cells.where(~F.col("label").isin(*FIXED_KEYS)).select(
+        "w", "part_no", "sid", "label", F.schema_of_variant("v").alias("t"), F.expr("try_variant_get(v, '$', 'string')").alias("text"))
+    cells = cells.select("w", "part_no", "label", "sid", _kind(F.col("t"), F.col("text")).alias("kind"), canonical(F.col("text")).alias("value"))
+    return cut_lineage(cells.groupBy("w", "part_no", "label", "sid", "kind", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
 def part_columns(votes: DataFrame) -> DataFrame:
-    """``(writer_id, part_no, label, kind)``: the label columns of each part with their type.
+    """``(w, part_no, label, kind)``: the label columns of each part with their type.
 
     The commonest type decides, so single stray values do not; ties go to the
     first of string, decimal, boolean, integer.  A column without any value has a null type.
     """
     counts = [F.sum(F.when(F.col("kind") == t, F.col("n")).otherwise(0)).alias(t) for t in _TYPES]
-    counted = votes.groupBy("writer_id", "part_no", "label").agg(*counts)
+    counted = votes.groupBy("w", "part_no", "label").agg(*counts)
     best = F.greatest(*[F.col(t) for t in _TYPES])
     kind = F.when(best == 0, F.lit(None))
-    for t in ("string", "decimal", "boolean", "integer"):
+    for t in _TYPES:
         kind = kind.when(F.col(t) == best, t)
-    return counted.select("writer_id", "part_no", "label", kind.alias("kind"))
+    return counted.select("w", "part_no", "label", kind.alias("kind"))
 
 
-def part_versions(rows: DataFrame) -> DataFrame:
-    """``(writer_id, part_no, previous)``: the parts of each writer; ``previous`` is null for the first.
+def fingerprinted_parts(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    """One row per part: ``(w, part_no, previous, columns, before, fingerprint, changed, version, since)``.
 
-    One small row per file meets in the window, never the records.
+    ``columns`` is the sorted list of ``(label, kind)``, ``before`` that of the
+    writer's previous part; the fingerprint is a hash of the list, ``changed``
+    whether it differs from the one before (true for a first part); ``version``
+    counts the writer's changes from 1 up and ``since`` is the version's first
+    part.  One small row per file meets in the window, never the records.
     """
-    parts = rows.select("writer_id", "part_no").where("part_no is not null").distinct()
-    return parts.withColumn("previous", F.lag("part_no").over(Window.partitionBy("writer_id").orderBy("part_no")))
+    listed = part_columns(votes).groupBy("w", "part_no").agg(F.sort_array(F.collect_list(F.struct("label", "kind"))).alias("columns"))
+    parts = rows.where("part_no is not null").select(_writer_key(F.col("writer_id")).alias("w"), "part_no").distinct()
+    every = parts.join(listed, ["w", "part_no"], "left")  # a part may have no readable record
+    columns = F.coalesce("columns", F.array().cast("array<struct<label:string,kind:string>>"))
+    entries = F.transform("columns", lambda c: F.concat(c["label"], F.lit(":"), F.coalesce(c["kind"], F.lit("?"))))
+    every = every.select("w", "part_no", columns.alias("columns")).withColumn("fingerprint", F.sha2(F.concat_ws(",", F.sort_array(entries)), 256))
+    order = Window.partitionBy("w").orderBy("part_no")
+    linked = every.select("*", F.lag("part_no").over(order).alias("previous"), F.lag("columns").over(order).alias("before"),
+                          (~F.lag("fingerprint").over(order).eqNullSafe(F.col("fingerprint"))).alias("changed"))
+    return linked.select(
+        "w", "part_no", "previous", "columns", "before", "fingerprint", "changed", F.sum(F.col("changed").cast("int")).over(order).cast("int").alias("version"),
+        F.max(F.when(F.col("changed"), F.col("part_no"))).over(order).alias("since"))
 
 
 def schema_fingerprints(rows: DataFrame) -> DataFrame:
@@ -74,170 +103,222 @@ def schema_fingerprints(rows: DataFrame) -> DataFrame:
     The fingerprint is a hash of the part's sorted ``label:type`` list; the
     version counts a writer's changes of fingerprint from 1 up.
     """
-    cols = part_columns(label_votes(rows))
-    entry = F.concat_ws(":", "label", F.coalesce("kind", F.lit("?")))
-    per_part = cols.groupBy("writer_id", "part_no").agg(F.sort_array(F.collect_list(entry)).alias("l"))
-    every = part_versions(rows).join(per_part, ["writer_id", "part_no"], "left")
-    listed = F.coalesce("l", F.array().cast("array<string>"))
-    every = every.select("writer_id", "part_no", F.size(listed).alias("n_labels"), F.sha2(F.concat_ws(",", listed), 256).alias("fingerprint"))
-    w = Window.partitionBy("writer_id").orderBy("part_no")
-    changed = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
-    return every.withColumn("c", changed).withColumn("version", F.sum("c").over(w).cast("int")).drop("c")
-
-
-def canonical(value: Column) -> Column:
-    """A value's text however typed: numbers by value, words in lower case."""
-    number = value.try_cast("double")
-    return F.coalesce(number.cast("string"), F.lower(F.trim(value)))
+    parts = fingerprinted_parts(rows, label_votes(rows))
+    return parts.select(_writer(F.col("w"), rows.schema["writer_id"].dataType).alias("writer_id"), "part_no", F.size("columns").alias("n_labels"),
+                        "fingerprint", "version")
 
 
 def schema_changes(rows: DataFrame, rename_share: float = RENAME_SHARE) -> DataFrame:
     """Every change of a writer's label columns from part to part.
 
     Result: ``writer_id, part_no, change_kind, old_label, new_label``; kinds
-    are ``added``, ``removed``, ``renamed`` and ``retyped``.  A column that goes
-    and one that comes are a rename if, over the series that have a value and
-    occur in both parts, at least ``rename_share`` of the values agree, and
-    each is the other's best match.
+    are ``added``, ``removed``, ``renamed`` and ``retyped``.  Parts with the
+    fingerprint of the one before have no changes and go no further.  A column
+    that goes and one that comes are a rename if, over the series that have a
+    value and occur in both parts, at least ``rename_share`` of the values
+    agree, and each is the other's best match.
 
     Records that are no JSON object are skipped (their part still counts);
     repeated and late rows change nothing; rows without a part number are left
     out; a null writer is a writer of its own.  A first part has no changes,
     an empty table none at all.
     """
-    return changes_of(rows, label_votes(rows), rename_share)
-
-
-def changes_of(rows: DataFrame, votes: DataFrame, rename_share: float) -> DataFrame:
-    """``schema_changes`` from votes that are already there."""
-    # Column lists, part links and column comparisons are small (per file, not per record) and each
-    # feeds several joins: kept once, they are not planned and run again in every branch.
-    cols = part_columns(votes)
-    links = cut_lineage(part_versions(rows).where("previous is not null").select("writer_id", "part_no", "previous"))
-
-    named = links.toDF("lw", "lp", "previous")
-    own = F.col("lw").eqNullSafe(F.col("writer_id"))
-    now = named.join(cols, own & (F.col("lp") == F.col("part_no"))).select(
-        F.col("lw").alias("writer_id"), F.col("lp").alias("part_no"), "label", F.col("kind").alias("now_kind"), F.lit(True).alias("in_now"))
-    was = named.join(cols, own & (F.col("previous") == F.col("part_no"))).select(
-        F.col("lw").alias("writer_id"), F.col("lp").alias("part_no"), "label", F.col("kind").alias("was_kind"), F.lit(True).alias("in_was"))
-    sides = now.unionByName(was, allowMissingColumns=True).groupBy("writer_id", "part_no", "label").agg(
-        F.max("now_kind").alias("now_kind"), F.max("was_kind").alias("was_kind"),
-        F.max("in_now").alias("in_now"), F.max("in_was").alias("in_was"))
-    sides = cut_lineage(sides)
-    came = sides.where("in_was is null").select("writer_id", "part_no", "label", F.col("now_kind").alias("kind"))
-    gone = sides.where("in_now is null").select("writer_id", "part_no", "label", F.col("was_kind").alias("kind"))
-    kept = sides.where("in_was and in_now and was_kind <> now_kind").select(
-        "writer_id", "part_no", F.lit("retyped").alias("change_kind"), F.col("label").alias("old_label"), F.col("label").alias("new_label"))
-
-    # One value per part, changed label and series: the commonest, so strays do not count.
-    moved = cut_lineage(_values(gone, came, links, votes))
-    old, new = [moved.where(F.col("side") == side).drop("side") for side in ("old", "new")]
-    sizes_old = old.groupBy("writer_id", "part_no", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes_new = new.groupBy("writer_id", "part_no", "label").agg(F.count(F.lit(1)).alias("n"))
-    a, b = old.alias("a"), new.alias("b")
-    same = a.join(b, _eq("writer_id") & (F.col("a.part_no") == F.col("b.part_no")) & (F.col("a.sid") == F.col("b.sid"))
-                  & (F.col("a.value") == F.col("b.value")))
-    agreed = same.groupBy("a.writer_id", "a.part_no", F.col("a.label").alias("old_label"), F.col("b.label").alias("new_label")).agg(
-        F.count(F.lit(1)).alias("m"))
-    so = sizes_old.toDF("ow", "op", "ol", "n_old")
-    sn = sizes_new.toDF("nw", "np", "nl", "n_new")
-    scored = (agreed.join(so, F.col("writer_id").eqNullSafe(F.col("ow")) & (F.col("part_no") == F.col("op")) & (F.col("old_label") == F.col("ol")))
-              .join(sn, F.col("writer_id").eqNullSafe(F.col("nw")) & (F.col("part_no") == F.col("np")) & (F.col("new_label") == F.col("nl")))
-              .withColumn("score", F.col("m") / F.least("n_old", "n_new")).where(F.col("score") >= rename_share))
-    # windows over the few candidate pairs of one part
-    rank = F.struct("score", "m", "n_old", "n_new")
-    per_old = Window.partitionBy("writer_id", "part_no", "old_label").orderBy(rank.desc(), "new_label")
-    per_new = Window.partitionBy("writer_id", "part_no", "new_label").orderBy(rank.desc(), "old_label")
-    pairs = scored.withColumn("ro", F.row_number().over(per_old)).withColumn("rn", F.row_number().over(per_new)).where(
-        "ro = 1 and rn = 1").select("writer_id", "part_no", "old_label", "new_label")
-    pairs = cut_lineage(pairs)
-
-    p = pairs.toDF("pw", "pp", "po", "pn")
-    hit_old = F.col("writer_id").eqNullSafe(F.col("pw")) & (F.col("part_no") == F.col("pp")) & (F.col("label") == F.col("po"))
-    hit_new = F.col("writer_id").eqNullSafe(F.col("pw")) & (F.col("part_no") == F.col("pp")) & (F.col("label") == F.col("pn"))
-    removed = gone.join(p, hit_old, "left_anti").select(
-        "writer_id", "part_no", F.lit("removed").alias("change_kind"), F.col("label").alias("old_label"), F.lit("").alias("new_label"))
-    added = came.join(p, hit_new, "left_anti").select(
-        "writer_id", "part_no", F.lit("added").alias("change_kind"), F.lit("").alias("old_label"), F.col("label").alias("new_label"))
-    was_typed = gone.join(p, hit_old).select("writer_id", "part_no", "po", "pn", F.col("kind").alias("k0"))
-    q = came.toDF("cw", "cp", "cl", "k1")
-    typed = was_typed.join(q, F.col("writer_id").eqNullSafe(F.col("cw")) & (F.col("part_no") == F.col("cp")) & (F.col("pn") == F.col("cl")))
-    kinds = F.when(F.col("k0") != F.col("k1"), F.array(F.lit("renamed"), F.lit("retyped"))).otherwise(F.array(F.lit("renamed")))
-    renamed = typed.select("writer_id", "part_no", F.explode(kinds).alias("change_kind"), F.col("po").alias("old_label"), F.col("pn").alias("new_label"))
-    return added.unionByName(removed).unionByName(renamed).unionByName(kept)
-
-
-def _eq(c: str) -> Column:
-    return F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-
-
-def _values(gone: DataFrame, came: DataFrame, links: DataFrame, votes: DataFrame) -> DataFrame:
-    """Values of labels that go or come, for series that occur in both parts; ``part_no`` is the later part."""
-    changed = gone.select("writer_id", "part_no", "label", F.lit("old").alias("side")).unionByName(
-        came.select("writer_id", "part_no", "label", F.lit("new").alias("side")))
-    la = changed.toDF("lw", "lp", "ll", "side")
-    li = links.toDF("kw", "kp", "previous")
-    is_old = F.col("side") == "old"
-    wanted = la.join(li, F.col("lw").eqNullSafe(F.col("kw")) & (F.col("lp") == F.col("kp"))).select(
-        "lw", "lp", "ll", "side", F.when(is_old, F.col("previous")).otherwise(F.col("lp")).alias("own"),
-        F.when(is_old, F.col("lp")).otherwise(F.col("previous")).alias("other"))
-    given = votes.where("kind is not null and sid is not null")
-    held = wanted.join(given, F.col("lw").eqNullSafe(F.col("writer_id")) & (F.col("own") == F.col("part_no")) & (F.col("ll") == F.col("label")))
-    keys = ["lw", "lp", "ll", "side", "other", "sid"]
-    counted = held.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    mode = counted.groupBy(*keys).agg(F.max(F.struct("n", "value"))["value"].alias("value"))
-    there = votes.where("sid is not null").select("writer_id", "part_no", "sid").distinct().toDF("sw", "sp", "ss")
-    both = mode.join(there, F.col("lw").eqNullSafe(F.col("sw")) & (F.col("other") == F.col("sp")) & (F.col("sid") == F.col("ss")), "left_semi")
-    return both.select(F.col("lw").alias("writer_id"), F.col("lp").alias("part_no"), F.col("ll").alias("label"), "side", "sid", "value")
-
-
-def consistent_table(rows: DataFrame, rename_share: float = RENAME_SHARE) -> DataFrame:
+    steps = migration_steps(rows, rename_share)
+    changes = steps.where("change_kind <> ''").select("writer_id", "part_no", "change_kind", "old_label", "new_label")
+    return changes
+
+
+def migration_steps(rows: DataFrame, rename_share: float = RENAME_SHARE) -> DataFrame:
+    """The explicit steps that lead from each version of a writer's schema to the next.
+
+    Result: ``writer_id, part_no`` (the first part of the new version),
+    ``version, step, change_kind, old_label, new_label, old_type, new_type``.
+    Steps are ``rename``, ``cast`` (``change_kind`` ``retyped``) and ``default``:
+    a label that was added is null in records before, one that was removed is
+    null in records after.
+    """
+    votes = label_votes(rows)
+    parts = cut_lineage(fingerprinted_parts(rows, votes))
+    return _steps(parts, votes, rename_share).select(
+        _writer(F.col("w"), rows.schema["writer_id"].dataType).alias("writer_id"), "part_no", "version", "step", "change_kind", "old_label", "new_label",
+        "old_type", "new_type")
+
+
+def _steps(parts: DataFrame, votes: DataFrame, rename_share: float) -> DataFrame:
+    changed = _with_sides(parts)
+    pairs = _renames(changed, votes, rename_share)
+    both = changed.join(pairs, ["w", "part_no"], "left")
+    none = F.array().cast("array<struct<o:string,n:string>>")
+    both = both.withColumn("pairs", F.coalesce("pairs", none))
+
+    def step(name, change, old, new, old_type, new_type):
+        return F.struct(F.lit(name).alias("step"), F.lit(change).alias("change_kind"), old.alias("old_label"), new.alias("new_label"),
+                        old_type.cast("string").alias("old_type"), new_type.cast("string").alias("new_type"))
+
+    def kind_in(columns: str, label: Column) -> Column:
+        return F.get(F.filter(F.col(columns), lambda c: c["label"] == label), F.lit(0))["kind"]
+
+    empty, null = F.lit(""), F.lit(None)
+    untouched_new = F.filter("came", lambda c: ~F.exists("pairs", lambda p: p["n"] == c["label"]))
+    untouched_old = F.filter("gone", lambda c: ~F.exists("pairs", lambda p: p["o"] == c["label"]))
+    recast = F.filter("pairs", lambda p: kind_in("before", p["o"]) != kind_in("columns", p["n"]))
+    steps = F.concat(
+        F.transform("pairs", lambda p: step("rename", "renamed", p["o"], p["n"], kind_in("before", p["o"]), kind_in("columns", p["n"]))),
+        F.transform(recast, lambda p: step("cast", "retyped", p["o"], p["n"], kind_in("before", p["o"]), kind_in("columns", p["n"]))),
+        F.transform("retyped", lambda c: step("cast", "retyped", c["label"], c["label"], kind_in("before", c["label"]), c["kind"])),
+        F.transform(untouched_new, lambda c: step("default", "added", empty, c["label"], null, c["kind"])),
+        F.transform(untouched_old, lambda c: step("default", "removed", c["label"], empty, c["kind"], null)))
+    return both.select("w", "part_no", "version", F.inline(steps))
+
+
+def _with_sides(parts: DataFrame) -> DataFrame:
+    """Parts whose fingerprint differs from the one before, with the columns that came, went or changed type."""
+    changed = parts.where("changed and previous is not null")
+
+    def missing_in(columns: str, others: str) -> Column:
+        return F.filter(columns, lambda c: ~F.exists(others, lambda x: x["label"] == c["label"]))
+
+    retyped = F.filter("columns", lambda c: F.exists("before", lambda x: (x["label"] == c["label"]) & (x["kind"] != c["kind"])))
+    return changed.select("w", "part_no", "previous", "version", "columns", "before", missing_in("columns", "before").alias("came"),
+                          missing_in("before", "columns").alias("gone"), retyped.alias("retyped"))
+
+
+def _renames(changed: DataFrame, votes: DataFrame, rename_share: float) -> DataFrame:
+    """``(w, part_no, pairs)``: the columns ``(o, n)`` of each part that are a rename."""
+    able = changed.where((F.size("came") > 0) & (F.size("gone") > 0))
+    # each part concerned, as the newer or the older side of a comparison, with the labels looked at there
+    sides = able.select("w", "part_no", F.inline(F.array(
+        F.struct(F.col("part_no").alias("own"), F.lit("n").alias("side"), F.transform("came", lambda c: c["label"]).alias("looked")),
+        F.struct(F.col("previous").alias("own"), F.lit("o").alias("side"), F.transform("gone", lambda c: c["label"]).alias("looked")))))
+    sides = sides.select(F.col("w").alias("lw"), F.col("part_no").alias("link"), "own", "side", "looked")
+    held = votes.where("sid is not null").join(sides, (F.col("w") == F.col("lw")) & (F.col("part_no") == F.col("own")))
+    # the other labels of a series only say that it occurs in the part
+    told = F.col("kind").isNotNull() & F.array_contains("looked", F.col("label"))
+    met = held.select("w", "link", "sid", "side", F.when(told, F.col("label")).alias("label"), F.when(told, F.col("value")).alias("value"), "n")
+    counted = met.groupBy("w", "link", "sid", "side", "label", "value").agg(F.sum("n").alias("n"))
+    # one value per label and series: the commonest, so strays do not count
+    mode = counted.groupBy("w", "link", "sid", "side", "label").agg(F.max(F.struct("n", "value"))["value"].alias("value"))
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("label", "value")))
+    series = mode.groupBy("w", "link", "sid").agg(of("o").alias("old"), of("n").alias("new"))
+    both = series.where((F.size("old") > 0) & (F.size("new") > 0)).select(
+        "w", "link", F.filter("old", lambda x: x["label"].isNotNull()).alias("old"), F.filter("new", lambda x: x["label"].isNotNull()).alias("new"))
+    # per series: the old labels, the new ones, and those of equal value; a schema's width bounds the lists
+    absent = F.lit(None).cast("string")
+    pair = lambda o, n: F.struct(o.alias("o"), n.alias("n"))
+    keys = F.concat(
+        F.transform("old", lambda x: pair(x["label"], absent)), F.transform("new", lambda x: pair(absent, x["label"])),
+        F.flatten(F.transform("old", lambda x: F.transform(F.filter("new", lambda y: y["value"] == x["value"]), lambda y: pair(x["label"], y["label"])))))
+    counts = both.select("w", "link", F.inline(keys)).groupBy("w", "link", "o", "n").agg(F.count(F.lit(1)).alias("m"))
+    listed = counts.groupBy("w", "link").agg(F.collect_list(F.struct("o", "n", "m")).alias("l"))
+
+    def size_of(side: str, label: Column) -> Column:
+        return F.get(F.filter("l", lambda x: x["o"].isNull() & (x["n"] == label) if side == "n" else x["n"].isNull() & (x["o"] == label)), F.lit(0))["m"]
+
+    scored = F.transform(F.filter("l", lambda x: x["o"].isNotNull() & x["n"].isNotNull()), lambda x: F.struct(
+        (x["m"] / F.least(size_of("o", x["o"]), size_of("n", x["n"]))).alias("score"), x["m"].alias("m"), size_of("o", x["o"]).alias("n_old"),
+        size_of("n", x["n"]).alias("n_new"), x["o"].alias("o"), x["n"].alias("n")))
+    ranked = listed.select("w", "link", F.filter(scored, lambda x: x["score"] >= rename_share).alias("s"))
+    rank = lambda x: F.struct(x["score"], x["m"], x["n_old"], x["n_new"])
+    # each the other's best; of equals the first label by name
+    better = lambda x, y, other: (rank(y) > rank(x)) | ((rank(y) == rank(x)) & (y[other] < x[other]))
+    best = F.filter("s", lambda x: ~F.exists("s", lambda y: (y["o"] == x["o"]) & better(x, y, "n")) & ~F.exists("s", lambda y: (y["n"] == x["n"]) & better(x, y, "o")))
+    return ranked.select("w", F.col("link").alias("part_no"), F.transform(best, lambda x: pair(x["o"], x["n"])).alias("pairs"))
+
+
+_ROUTE = pa.list_(pa.struct([("label", pa.string()), ("target", pa.string()), ("cast_to", pa.string())]))
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Routes of each version, from versions sorted by writer and from the newest back.
+
+    What is held is the schema of the version before last read: where its
+    labels lead and the newest type of each target.
+    """
+    writer, targets, kinds, renames = object(), {}, {}, {}
+    schema = pa.schema([("w", pa.string()), ("since", pa.int64()), ("route", _ROUTE)])
+    for b in batches:
+        out: list[tuple] = []
+        for w, since, columns, pairs in zip(*[c.to_pylist() for c in b.columns]):
+            if w != writer:
+                writer, targets, kinds, renames = w, {}, {}, {}
+            # all renames of one step apply at once; a label that is not there any more keeps its name
+            targets = {c["label"]: targets.get(renames.get(c["label"], c["label"]), renames.get(c["label"], c["label"])) for c in columns}
+            for c in columns:
+                if c["kind"] is not None:
+                    kinds.setdefault(targets[c["label"]], c["kind"])
+            out.append((w, since, [{"label": a, "target": t, "cast_to": kinds.get(t)} for a, t in targets.items()]))
+            renames = {p["o"]: p["n"] for p in pairs or ()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def routes(parts: DataFrame, votes: DataFrame, rename_share: float = RENAME_SHARE) -> DataFrame:
+    """``(w, part_no, route)``: per file a map from each label to its ``(target, cast_to)``, all steps chained.
+
+    A writer's versions are read from the newest back, in sorted partitions and
+    as a stream, one small row per version.
+    """
+    ship(parts.sparkSession)
+    starts = parts.where("changed")
+    renames = _renames(_with_sides(parts), votes, rename_share)
+    rows = starts.join(renames, ["w", "part_no"], "left").select("w", F.col("part_no").cast("long").alias("since"), "columns", "pairs")
+    ordered = rows.repartition("w").sortWithinPartitions("w", F.col("since").desc())
+    led = ordered.mapInArrow(_follow, "w string, since bigint, route array<struct<label:string,target:string,cast_to:string>>")
+    maps = led.select("w", "since", F.map_from_entries(F.transform("route", lambda x: F.struct(x["label"], F.struct(x["target"], x["cast_to"])))).alias("route"))
+    return parts.select("w", "part_no", F.col("since").cast("long").alias("since")).join(maps, ["w", "since"]).select("w", "part_no", "route")
+
+
+def consistent_table(rows: DataFrame, rename_share: float = RENAME_SHARE, route_files: int = ROUTE_FILES) -> DataFrame:
     """All records under each writer's newest column names and types.
 
-    Result: ``writer_id, part_no, row_no, series_id, mint, maxt, name`` and
-    ``labels``, a map from newest label name to text.  Each record passes the
-    renames of the parts after its own, in order; missing values default to
-    absent; values are cast to the type the column has where it was seen last,
-    and keep their text where the cast fails.  Of a record delivered twice the
-    latest ``written_at`` stays (ties: the larger record).  Rows without a part
-    or row number cannot be told to be one record unless they hold the same
-    text, so each text of them stays; without a part number no rename applies.
-    A null writer is a writer of its own.
+    Result: ``writer_id, part_no, row_no, series_id, mint, maxt, name`` and five
+    maps from newest label name to value, a label being in the map of its
+    writer's newest type: ``strings``, ``integers``, ``decimals``, ``booleans``;
+    ``unreadable`` has, as text, the values that this type cannot hold.  Each
+    file is routed by its version's chained renames and casts; a label that a
+    file lacks has its default, which is null: it is in no map.
+
+    Of a record delivered twice the latest ``written_at`` stays (ties: the
+    larger record).  Rows without a part or row number cannot be told to be one
+    record unless they hold the same text, so each text of them stays; without a
+    part number no route applies, and labels stay as they are, as text.  Records
+    that are no JSON object have empty maps.  Should two columns of a record
+    lead to one name, the larger text stays.  A null writer is a writer of its own.
     """
+    votes = label_votes(rows)
+    parts = cut_lineage(fingerprinted_parts(rows, votes))
+    found = cut_lineage(routes(parts, votes, rename_share)).toDF("rw", "rp", "route")
     best = F.max(F.struct(F.col("written_at"), F.col("record")))["record"].alias("record")
     unnumbered = F.when(F.col("part_no").isNull() | F.col("row_no").isNull(), F.col("record"))
-    once = rows.groupBy("writer_id", "part_no", "row_no", unnumbered.alias("own_text")).agg(best)
-    votes = label_votes(rows)
-    steps = changes_of(rows, votes, rename_share).where("change_kind = 'renamed'").groupBy("writer_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("part_no").alias("p"), F.col("old_label").alias("o"), F.col("new_label").alias("n")))).alias("steps"))
-    cols = part_columns(votes)
-    # routes: one row per writer, part and label, so the chain is followed once per column, not per value
-    routed = cols.join(steps.withColumnRenamed("writer_id", "sw"), F.col("writer_id").eqNullSafe(F.col("sw")), "left").drop("sw")
-    none = F.array().cast("array<struct<p:int,o:string,n:string>>")
-    later = F.filter(F.coalesce("steps", none), lambda s: s["p"] > F.col("part_no"))
-    target = F.aggregate(later, F.col("label"), lambda acc, s: F.when(acc == s["o"], s["n"]).otherwise(acc))
-    routes = routed.select("writer_id", "part_no", "label", "kind", target.alias("target"))
-    newest = routes.where("kind is not null").groupBy("writer_id", "target").agg(F.max(F.struct("part_no", "kind"))["kind"].alias("cast_to"))
-    routes = routes.join(newest.toDF("nw", "nt", "cast_to"), F.col("writer_id").eqNullSafe(F.col("nw")) & (F.col("target") == F.col("nt")), "left")
-    r = routes.select(F.col("writer_id").alias("rw"), F.col("part_no").alias("rp"), F.col("label").alias("rl"), "target", "cast_to")
-    cells = label_cells(spread(once), "own_text").where("kind is not null")
-    moved = cells.join(r, F.col("writer_id").eqNullSafe(F.col("rw")) & F.col("part_no").eqNullSafe(F.col("rp")) & (F.col("label") == F.col("rl")))
-    v = F.col("value")
-    cast = (F.when(F.col("cast_to") == "integer", v.try_cast("decimal(38,6)").try_cast("bigint").cast("string"))
-            .when(F.col("cast_to") == "decimal", v.try_cast("double").cast("string"))
-            .when(F.col("cast_to") == "boolean", v.try_cast("boolean").cast("string")).otherwise(v))
-    listed = moved.groupBy("writer_id", "part_no", "row_no", "own_text").agg(
-        F.sort_array(F.collect_list(F.struct("target", F.coalesce(cast, v).alias("value")))).alias("l"))
-    # two columns of one record may lead to one name (a key given twice): the larger text stays
-    single = F.filter("l", lambda x, i: (i == F.size("l") - 1) | (F.get("l", i + 1)["target"] != x["target"]))
-    labels = listed.select("writer_id", "part_no", "row_no", "own_text", F.map_from_entries(single).alias("labels"))
-    m = F.from_json("record", "map<string,variant>")
-    base = once.withColumn("m", m).select(
-        "writer_id", "part_no", "row_no", "own_text", *[F.expr(f"try_variant_get(m['{k}'], '$', '{t}')").alias(n) for k, t, n in (
-            ("__series__id", "bigint", "series_id"), ("__mint", "bigint", "mint"), ("__maxt", "bigint", "maxt"), ("__name__", "string", "name"))])
-    la = labels.toDF("lw", "lp", "lr", "lo", "labels")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return base.join(la, F.col("writer_id").eqNullSafe(F.col("lw")) & F.col("part_no").eqNullSafe(F.col("lp")) & F.col("row_no").eqNullSafe(F.col("lr"))
-                     & F.col("own_text").eqNullSafe(F.col("lo")), "left").select(
-        *[c for c in base.columns if c != "own_text"], F.coalesce("labels", empty).alias("labels"))
+    once = rows.groupBy(_writer_key(F.col("writer_id")).alias("w"), "part_no", "row_no", unnumbered.alias("own_text")).agg(best)
+    small = found.limit(route_files + 1).count() <= route_files
+    met = once.join(F.broadcast(found) if small else found, (F.col("w") == F.col("rw")) & (F.col("part_no") == F.col("rp")), "left")
+    parsed = met.select("w", "part_no", "row_no", "route", F.from_json("record", "map<string,variant>").alias("m"))
+    entries = F.filter(F.coalesce(F.map_entries("m"), F.array().cast("array<struct<key:string,value:variant>>")), lambda x: ~x["key"].isin(*FIXED_KEYS))
+    read = F.transform(entries, lambda x: F.struct(
+        x["key"].alias("label"), F.try_element_at("route", x["key"]).alias("to"), F.schema_of_variant(x["value"]).alias("t"),
+        F.try_variant_get(x["value"], "$", "string").alias("text")))
+    given = F.filter(read, lambda x: (x["t"] != "VOID") & (x["text"] != ""))
+    routed = F.sort_array(F.transform(given, lambda x: F.struct(
+        F.coalesce(x["to"]["target"], x["label"]).alias("target"), x["text"].alias("text"), F.coalesce(x["to"]["cast_to"], F.lit("string")).alias("cast_to"))))
+    listed = parsed.select("w", "part_no", "row_no", "m", routed.alias("l"))
+    single = listed.select("w", "part_no", "row_no", "m", F.filter(
+        "l", lambda x, i: (i == F.size("l") - 1) | (F.get("l", i + 1)["target"] != x["target"])).alias("l"))
+
+    def whole(text: Column) -> Column:
+        exact = text.try_cast("decimal(38,6)")
+        return F.when(exact == F.floor(exact), exact).try_cast("bigint")
+
+    casts = {"string": lambda t: t, "integer": whole, "decimal": lambda t: t.try_cast("double"), "boolean": lambda t: t.try_cast("boolean")}
+
+    def of(kind: str) -> Column:
+        typed = F.transform(F.filter("l", lambda x: x["cast_to"] == kind), lambda x: F.struct(x["target"].alias("k"), casts[kind](x["text"]).alias("v")))
+        return F.map_from_entries(F.filter(typed, lambda x: x["v"].isNotNull()))
+
+    unread = F.filter("l", lambda x: F.when(x["cast_to"] == "integer", whole(x["text"]).isNull()).when(x["cast_to"] == "decimal", x["text"].try_cast("double").isNull())
+                      .when(x["cast_to"] == "boolean", x["text"].try_cast("boolean").isNull()).otherwise(F.lit(False)))
+    fixed = [F.expr(f"try_variant_get(m['{k}'], '$', '{t}')").alias(n) for k, t, n in (
+        ("__series__id", "bigint", "series_id"), ("__mint", "bigint", "mint"), ("__maxt", "bigint", "maxt"), ("__name__", "string", "name"))]
+    return single.select(
+        _writer(F.col("w"), rows.schema["writer_id"].dataType).alias("writer_id"), "part_no", "row_no", *fixed,
+        of("string").alias("strings"), of("integer").alias("integers"), of("decimal").alias("decimals"), of("boolean").alias("booleans"),
+        F.map_from_entries(F.transform(unread, lambda x: F.struct(x["target"], x["text"]))).alias("unreadable"))

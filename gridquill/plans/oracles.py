@@ -54,7 +54,7 @@ _PART_COLUMNS = r"""
  parts AS (SELECT writer_id, part_no, lag(part_no) OVER (PARTITION BY writer_id ORDER BY part_no) AS previous
         FROM (SELECT DISTINCT writer_id, part_no FROM part_rows WHERE part_no IS NOT NULL))"""
 
-_CHANGES = _PART_COLUMNS + r""",
+_COMPARED = _PART_COLUMNS + r""",
  links AS (SELECT * FROM parts WHERE previous IS NOT NULL),
  now AS (SELECT l.writer_id, l.part_no, l.previous, label, kind FROM links l JOIN cols USING (writer_id, part_no)),
  was AS (SELECT l.writer_id, l.part_no, l.previous, label, kind FROM links l JOIN cols c ON c.writer_id = l.writer_id AND c.part_no = l.previous),
@@ -72,7 +72,9 @@ _CHANGES = _PART_COLUMNS + r""",
         JOIN (SELECT writer_id, part_no, label, count(*) AS n FROM old GROUP BY ALL) x ON (x.writer_id, x.part_no, x.label) = (a.writer_id, a.part_no, a.ol)
         JOIN (SELECT writer_id, part_no, label, count(*) AS n FROM new GROUP BY ALL) y ON (y.writer_id, y.part_no, y.label) = (a.writer_id, a.part_no, a.nl)),
  pairs AS (SELECT writer_id, part_no, ol, nl FROM (SELECT *, row_number() OVER (PARTITION BY writer_id, part_no, ol ORDER BY score DESC, m DESC, xn DESC, yn DESC, nl) AS ro,
-        row_number() OVER (PARTITION BY writer_id, part_no, nl ORDER BY score DESC, m DESC, xn DESC, yn DESC, ol) AS rn FROM scored WHERE score >= 0.75) WHERE ro = 1 AND rn = 1)
+        row_number() OVER (PARTITION BY writer_id, part_no, nl ORDER BY score DESC, m DESC, xn DESC, yn DESC, ol) AS rn FROM scored WHERE score >= 0.75) WHERE ro = 1 AND rn = 1)"""
+
+_CHANGES = _COMPARED + r"""
  SELECT writer_id, part_no, 'added' AS change_kind, '' AS old_label, label AS new_label FROM came c
    ANTI JOIN pairs p ON p.writer_id = c.writer_id AND p.part_no = c.part_no AND p.nl = c.label
  UNION ALL SELECT writer_id, part_no, 'removed', label, '' FROM gone c ANTI JOIN pairs p ON p.writer_id = c.writer_id AND p.part_no = c.part_no AND p.ol = c.label
@@ -81,6 +83,54 @@ _CHANGES = _PART_COLUMNS + r""",
    JOIN came c ON (c.writer_id, c.part_no, c.label) = (p.writer_id, p.part_no, p.nl) WHERE g.kind <> c.kind
  UNION ALL SELECT n.writer_id, n.part_no, 'retyped', n.label, n.label FROM now n JOIN was w ON (w.writer_id, w.part_no, w.label) = (n.writer_id, n.part_no, n.label) WHERE n.kind <> w.kind"""
 
+# Where each column of each part leads: followed part by part, until a part lacks it.
+_CONSISTENT = _COMPARED.replace("WITH o AS", "WITH RECURSIVE o AS", 1) + r""",
+ walk AS (SELECT writer_id, part_no, label, kind, part_no AS here, label AS target FROM cols
+   UNION ALL SELECT w.writer_id, w.part_no, w.label, w.kind, l.part_no, coalesce(p.nl, c.label)
+   FROM walk w JOIN links l ON l.writer_id = w.writer_id AND l.previous = w.here
+   LEFT JOIN pairs p ON p.writer_id = w.writer_id AND p.part_no = l.part_no AND p.ol = w.target
+   LEFT JOIN cols c ON c.writer_id = w.writer_id AND c.part_no = l.part_no AND c.label = w.target WHERE p.nl IS NOT NULL OR c.label IS NOT NULL),
+ route AS (SELECT writer_id, part_no, label, any_value(kind) AS kind, arg_max(target, here) AS target FROM walk GROUP BY ALL),
+ newest AS (SELECT writer_id, target, kind AS cast_to FROM (SELECT *, row_number() OVER (PARTITION BY writer_id, target ORDER BY part_no DESC, label) AS rn
+   FROM route WHERE kind IS NOT NULL) WHERE rn = 1),
+ once AS (SELECT writer_id, part_no, row_no, max(struct_pack(a := written_at, r := record)).r AS record FROM part_rows
+   GROUP BY writer_id, part_no, row_no, CASE WHEN part_no IS NULL OR row_no IS NULL THEN record END),
+ rec AS (SELECT *, row_number() OVER () AS rid, CASE WHEN json_valid(record) AND json_type(record) = 'OBJECT' THEN CAST(record AS JSON) ELSE CAST('{}' AS JSON) END AS j FROM once),
+ keys AS (SELECT rid, writer_id, part_no, j, unnest(json_keys(j)) AS label FROM rec),
+ text AS (SELECT k.rid, coalesce(r.target, k.label) AS target, coalesce(n.cast_to, 'string') AS cast_to,
+     CASE WHEN json_type(j, '/' || replace(replace(k.label, '~', '~0'), '/', '~1')) = 'DOUBLE'
+       THEN regexp_replace(regexp_replace(json_extract_string(j, '/' || replace(replace(k.label, '~', '~0'), '/', '~1')), '(\.[0-9]*[1-9])0+$', '\1'), '\.0+$', '')
+       ELSE json_extract_string(j, '/' || replace(replace(k.label, '~', '~0'), '/', '~1')) END AS v
+   FROM keys k LEFT JOIN route r ON r.writer_id = k.writer_id AND r.part_no = k.part_no AND r.label = k.label
+   LEFT JOIN newest n ON n.writer_id = r.writer_id AND n.target = r.target WHERE k.label NOT IN ('__series__id', '__mint', '__maxt', '__name__')),
+ one AS (SELECT rid, target, cast_to, max(v) AS v FROM text WHERE v IS NOT NULL AND v <> '' GROUP BY ALL),
+ shaped AS (SELECT *, CASE WHEN cast_to = 'integer' AND try_cast(v AS DECIMAL(38,6)) = floor(try_cast(v AS DECIMAL(38,6))) THEN CAST(try_cast(try_cast(v AS DECIMAL(38,6)) AS BIGINT) AS VARCHAR)
+     WHEN cast_to = 'decimal' AND try_cast(v AS DOUBLE) IS NOT NULL THEN printf('%.6f', CAST(v AS DOUBLE))
+     WHEN cast_to = 'boolean' AND lower(trim(v)) IN ('t', 'true', 'y', 'yes', '1') THEN 'true'
+     WHEN cast_to = 'boolean' AND lower(trim(v)) IN ('f', 'false', 'n', 'no', '0') THEN 'false' WHEN cast_to = 'string' THEN v END AS x FROM one),
+ listed AS (SELECT rid, string_agg(target || '=' || x, '|' ORDER BY target) FILTER (cast_to = 'string') AS strings,
+   string_agg(target || '=' || x, '|' ORDER BY target) FILTER (cast_to = 'integer' AND x IS NOT NULL) AS integers,
+   string_agg(target || '=' || x, '|' ORDER BY target) FILTER (cast_to = 'decimal' AND x IS NOT NULL) AS decimals,
+   string_agg(target || '=' || x, '|' ORDER BY target) FILTER (cast_to = 'boolean' AND x IS NOT NULL) AS booleans,
+   string_agg(target || '=' || v, '|' ORDER BY target) FILTER (x IS NULL) AS unreadable FROM shaped GROUP BY rid)
+ SELECT writer_id, part_no, row_no, try_cast(j->>'$.__series__id' AS BIGINT) AS series_id, try_cast(j->>'$.__mint' AS BIGINT) AS mint,
+   try_cast(j->>'$.__maxt' AS BIGINT) AS maxt, j->>'$.__name__' AS name, coalesce(strings, '') AS strings, coalesce(integers, '') AS integers,
+   coalesce(decimals, '') AS decimals, coalesce(booleans, '') AS booleans, coalesce(unreadable, '') AS unreadable
+ FROM rec LEFT JOIN listed USING (rid)"""
+
+_STEPS = _COMPARED + r""",
+ per AS (SELECT writer_id, part_no, string_agg(label || ':' || coalesce(kind, '?'), ',' ORDER BY label || ':' || coalesce(kind, '?')) AS l FROM cols GROUP BY ALL),
+ f AS (SELECT p.writer_id, p.part_no, coalesce(l, '') AS l FROM parts p LEFT JOIN per q ON p.writer_id = q.writer_id AND p.part_no = q.part_no),
+ m AS (SELECT *, CASE WHEN lag(l) OVER (PARTITION BY writer_id ORDER BY part_no) IS NOT DISTINCT FROM l THEN 0 ELSE 1 END AS n FROM f),
+ v AS (SELECT writer_id, part_no, CAST(sum(n) OVER (PARTITION BY writer_id ORDER BY part_no) AS INTEGER) AS version FROM m),
+ s AS (SELECT p.writer_id, p.part_no, 'rename' AS step, 'renamed' AS change_kind, ol AS old_label, nl AS new_label, g.kind AS old_type, c.kind AS new_type
+   FROM pairs p JOIN gone g ON (g.writer_id, g.part_no, g.label) = (p.writer_id, p.part_no, p.ol) JOIN came c ON (c.writer_id, c.part_no, c.label) = (p.writer_id, p.part_no, p.nl)
+  UNION ALL SELECT n.writer_id, n.part_no, 'cast', 'retyped', n.label, n.label, w.kind, n.kind FROM now n JOIN was w ON (w.writer_id, w.part_no, w.label) = (n.writer_id, n.part_no, n.label) WHERE n.kind <> w.kind
+  UNION ALL SELECT c.writer_id, c.part_no, 'default', 'added', '', label, NULL, kind FROM came c ANTI JOIN pairs p ON p.writer_id = c.writer_id AND p.part_no = c.part_no AND p.nl = c.label
+  UNION ALL SELECT c.writer_id, c.part_no, 'default', 'removed', label, '', kind, NULL FROM gone c ANTI JOIN pairs p ON p.writer_id = c.writer_id AND p.part_no = c.part_no AND p.ol = c.label),
+ every AS (SELECT * FROM s UNION ALL SELECT writer_id, part_no, 'cast', 'retyped', old_label, new_label, old_type, new_type FROM s WHERE step = 'rename' AND old_type <> new_type)
+ SELECT e.writer_id, e.part_no, v.version, step, change_kind, old_label, new_label, old_type, new_type FROM every e JOIN v ON v.writer_id = e.writer_id AND v.part_no = e.part_no"""
+
 _VERSIONS = _PART_COLUMNS + r""",
  listed AS (SELECT writer_id, part_no, label || ':' || coalesce(kind, '?') AS x FROM cols),
  per AS (SELECT writer_id, part_no, count(*) AS n_labels, string_agg(x, ',' ORDER BY x) AS l FROM listed GROUP BY ALL),
@@ -214,6 +264,8 @@ ORACLES: dict[str, str] = {
         CAST(coalesce(sum(end_ms - start_ms) FILTER (span_kind = 'gap'), 0) AS BIGINT) AS gap_ms FROM spans GROUP BY series_id""",
     "p4_found": _CELL_SQL,
     "p5_found": _CHANGES,
+    "p5_consistent": _CONSISTENT,
+    "p5_steps": _STEPS,
     "p5_versions": _VERSIONS,
     "p7_series_summary": "WITH " + _SLOTS,
     "p6_span_summary": f"""WITH k AS ({_KINDS}),

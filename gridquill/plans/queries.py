@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.payload import readings
 from ..operators import drift, grid, periods, scan, skew, wide
@@ -254,8 +255,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "part_rows"))
 
 
+def _listed(column: str, value: Callable[[Column], Column] = lambda v: v.cast("string")) -> Column:
+    """A map as text, ``label=value`` in the order of the labels."""
+    entries = F.transform(F.array_sort(F.map_keys(column)), lambda k: F.concat(k, F.lit("="), value(F.element_at(column, k))))
+    return F.array_join(entries, "|").alias(column)
+
+
 def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent_table(table(spark, d, "part_rows"))
+    """Every record under its writer's newest names and types, the typed maps written as text."""
+    out = drift.consistent_table(table(spark, d, "part_rows"))
+    fixed = [c for c in out.columns if not isinstance(out.schema[c].dataType, T.MapType)]
+    return out.select(*fixed, _listed("strings"), _listed("integers"), _listed("decimals", lambda v: F.format_string("%.6f", v)),
+                      _listed("booleans"), _listed("unreadable"))
+
+
+def p5_steps(spark: SparkSession, d: str) -> DataFrame:
+    return drift.migration_steps(table(spark, d, "part_rows"))
 
 
 def p5_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -296,6 +311,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     "promql_selector": _prom('{job="ingest", route=""}'),
     "promql_decoded_max": _prom("max by (cluster) ({job!=\"\"})", samples="decoded", mode="overlap"),
 } | {f.__name__: f for f in (
-    p3_found, p3_series_coverage, p4_found, p4_wide, p5_found, p5_consistent, p5_versions, p6_span_summary, p7_found, p7_grid,
+    p3_found, p3_series_coverage, p4_found, p4_wide, p5_found, p5_consistent, p5_steps, p5_versions, p6_span_summary, p7_found, p7_grid,
     p7_series_summary,
 )}
