@@ -150,6 +150,22 @@ _SLOTS = READINGS + """,
    CAST(sum(1 - own) AS BIGINT) AS n_filled, CAST(sum(ms) AS BIGINT) AS covered_ms
  FROM o JOIN c ON c.series_id = o.series_id GROUP BY o.series_id"""
 
+# As the operator adds up: a cell's own readings in order of time, then what an earlier one covers.
+_GRID_CELLS = READINGS.replace("SELECT __series__id AS series_id, __mint AS a, __maxt AS z,", "SELECT __series__id AS series_id, __mint AS a, __maxt AS z, received_at,").replace(
+    "SELECT series_id, a, z, try_cast", "SELECT series_id, a, z, received_at, try_cast").replace("SELECT series_id, a + o AS t, v", "SELECT series_id, a + o AS t, v, received_at") + """,
+ d0 AS (SELECT series_id, t, v, row_number() OVER (PARTITION BY series_id, t ORDER BY received_at DESC NULLS LAST, v DESC) AS rn FROM readings),
+ d AS (SELECT r.series_id, t, v, CAST(ceil(3.0 * coalesce(scrape_ms, 60000)) AS BIGINT) AS age FROM d0 r LEFT JOIN series x ON x.__series__id = r.series_id WHERE rn = 1),
+ o AS (SELECT series_id, min(t - t % 60000) AS a, max(t - t % 60000) + 60000 AS z FROM d GROUP BY series_id),
+ i AS (SELECT d.series_id, t, v, least(t + age, coalesce(lead(t) OVER (PARTITION BY d.series_id ORDER BY t), o.z)) AS e FROM d JOIN o ON o.series_id = d.series_id),
+ g AS (SELECT series_id, t, v, e, unnest(range(t - t % 60000, e, 60000)) AS slot FROM i),
+ c AS (SELECT series_id, slot, count(*) FILTER (t >= slot) AS n, sum(least(e, slot + 60000) - greatest(t, slot)) AS ms,
+   coalesce(list_sum(list(v * (least(e, slot + 60000) - greatest(t, slot)) ORDER BY t) FILTER (t >= slot)), 0)
+     + coalesce(sum(v * (least(e, slot + 60000) - greatest(t, slot))) FILTER (t < slot), 0) AS area FROM g GROUP BY series_id, slot),
+ every AS (SELECT series_id, unnest(range(a, z, 60000)) AS slot FROM o)
+ SELECT e.series_id, CAST(e.slot AS BIGINT) AS slot_ms, CAST(coalesce(n, 0) AS INTEGER) AS n_readings, CASE WHEN ms > 0 THEN round(area / ms, 9) END AS value,
+   coalesce(ms, 0) / 60000.0::DOUBLE AS coverage, CASE WHEN coalesce(n, 0) > 0 THEN 'observed' WHEN ms > 0 THEN 'filled' ELSE 'missing' END AS status
+ FROM every e LEFT JOIN c ON c.series_id = e.series_id AND c.slot = e.slot"""
+
 _KINDS = " UNION ALL ".join(
     ["SELECT '__series__id' AS key_kind, CAST(__series__id AS VARCHAR) AS key_value, __mint AS a, __maxt AS z FROM chunk_index"]
     + [f"SELECT '{c}', coalesce({c}, ''), __mint, __maxt FROM chunk_index" for c in LABELS])
@@ -181,7 +197,27 @@ _CELL_SQL = rf"""
                     (CASE WHEN substr(v, length(v) - 5, 1) = '-' THEN -1 ELSE 1 END)
                     * (CAST(substr(v, length(v) - 4, 2) AS BIGINT) * 60 + CAST(substr(v, length(v) - 1, 2) AS BIGINT)) * 60000 ELSE 0 END AS VARCHAR)
             END END AS cell_text FROM w)
- SELECT series_id, label_name, cell_text FROM x WHERE cell_text IS NOT NULL"""
+"""
+
+_FOUND_CELLS = _CELL_SQL + " SELECT series_id, label_name, cell_text FROM x WHERE cell_text IS NOT NULL"
+
+#: The catalogue's entries, fixed values of the tables: name and type.
+CATALOG = (
+    ("build_no", "bigint"), ("deployed_at", "timestamp"), ("drift_ms", "double"), ("host_class", "string"), ("image_tag", "string"),
+    ("is_canary", "boolean"), ("last_restart", "timestamp"), ("load_weight", "double"), ("mem_limit_bytes", "bigint"), ("owner_team", "string"),
+    ("paged", "boolean"), ("port", "bigint"), ("preemptible", "boolean"), ("replica_count", "bigint"), ("runbook", "string"), ("sample_ratio",
+    "double"), ("shard_offset", "bigint"), ("tier", "string"), ("zone", "string"),
+)
+_AS = {"string": "{}", "bigint": "CAST({} AS BIGINT)", "boolean": "CAST({} AS BOOLEAN)", "timestamp": "epoch_ms(CAST({} AS BIGINT))", "double": "{}"}
+# doubles come from the number's text, not from the three decimals of a cell
+_WIDE = _CELL_SQL.replace("printf('%.3f', try_cast(n AS DOUBLE))", "CAST(try_cast(n AS DOUBLE) AS VARCHAR)") + f""",
+ e AS (SELECT DISTINCT series_id FROM label_rows),
+ o AS (SELECT series_id, string_agg(label_name || '=' || cell_text, '|' ORDER BY label_name) AS other_labels FROM x
+       WHERE cell_text IS NOT NULL AND label_name NOT IN (SELECT name FROM cat) GROUP BY series_id),
+ t AS (SELECT series_id, {", ".join(f"max(cell_text) FILTER (label_name = '{n}') AS {n}" for n, _ in CATALOG)} FROM x GROUP BY series_id)
+ SELECT e.series_id, {", ".join(f"CAST({n} AS DOUBLE) AS {n}" if k == "double" else f"{_AS[k].format(n)} AS {n}" for n, k in CATALOG)},
+   coalesce(other_labels, '') AS other_labels FROM e LEFT JOIN t ON t.series_id IS NOT DISTINCT FROM e.series_id
+   LEFT JOIN o ON o.series_id IS NOT DISTINCT FROM e.series_id"""
 
 ORACLES: dict[str, str] = {
     "scan_equals": "SELECT __series__id, __mint, __maxt, namespace FROM chunk_index WHERE job = 'ingest'",
@@ -262,11 +298,13 @@ ORACLES: dict[str, str] = {
     "p3_series_coverage": SPANS + """ SELECT series_id, count(*) FILTER (span_kind = 'period') AS n_periods,
         count(*) FILTER (span_kind = 'gap') AS n_gaps, CAST(sum(end_ms - start_ms) FILTER (span_kind = 'period') AS BIGINT) AS period_ms,
         CAST(coalesce(sum(end_ms - start_ms) FILTER (span_kind = 'gap'), 0) AS BIGINT) AS gap_ms FROM spans GROUP BY series_id""",
-    "p4_found": _CELL_SQL,
+    "p4_found": _FOUND_CELLS,
+    "p4_wide": _WIDE,
     "p5_found": _CHANGES,
     "p5_consistent": _CONSISTENT,
     "p5_steps": _STEPS,
     "p5_versions": _VERSIONS,
+    "p7_grid": "WITH " + _GRID_CELLS,
     "p7_series_summary": "WITH " + _SLOTS,
     "p6_span_summary": f"""WITH k AS ({_KINDS}),
         t AS (SELECT key_kind, key_value, count(*) AS n_rows, min(a) AS first_start, max(z) AS last_end FROM k GROUP BY key_kind, key_value),

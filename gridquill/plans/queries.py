@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from ..operators.projection import arrow_batches, project
 from ..operators.scan import Predicate, equals, gte, lte
 from ..operators.series import ChunkEngine, assign_series_ids
 from ..schema import MAXT, MINT, NAME, PAYLOAD, SERIES, label, make_chunk_rows
-from ..session import shared_dir
+from ..session import scratch_dir
 from ..sinks.writer import compact, write_parts
 from ..sources.samples import samples_to_chunks
 from ..sources.tables import epoch_ms, table
@@ -200,20 +199,16 @@ def decode_readings(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.max("v").alias("max_v"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/gridquill-{uuid.uuid4().hex}"
-
-
 def write_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Sorted parts written and read back."""
-    path = _scratch(spark)
+    path = scratch_dir(spark)
     write_parts(_index(spark, d), path, LABELS, rows_per_part=50_000)
     return spark.read.parquet(path).select(*_IDS, *LABELS)
 
 
 def compact_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Three rounds of parts, compacted into range-partitioned files and read back."""
-    path = _scratch(spark)
+    path = scratch_dir(spark)
     rows = _index(spark, d)
     for r in range(3):
         write_parts(rows.where(F.pmod(MINT, F.lit(3)) == r), f"{path}/parts", LABELS, rows_per_part=100_000)
@@ -243,12 +238,19 @@ def p3_series_coverage(spark: SparkSession, d: str) -> DataFrame:
         F.sum(of("period")).alias("period_ms"), F.coalesce(F.sum(of("gap")), F.lit(0)).cast("long").alias("gap_ms"))
 
 
-def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+def _wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.wide_table(table(spark, d, "label_rows"), table(spark, d, "label_catalog"))
 
 
+def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table, its map of other labels written as text."""
+    out = _wide(spark, d)
+    filled = F.map_filter(wide.OTHER, lambda k, v: v.isNotNull())
+    return out.withColumn(wide.OTHER, filled).select(*[_listed(c) if c == wide.OTHER else F.col(f"`{c}`") for c in out.columns])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return wide.filled_cells(p4_wide(spark, d))
+    return wide.filled_cells(_wide(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -281,18 +283,23 @@ def p6_span_summary(spark: SparkSession, d: str) -> DataFrame:
     return skew.span_summary(_index(spark, d), SERIES, LABELS, MINT, MAXT)
 
 
-def p7_grid(spark: SparkSession, d: str) -> DataFrame:
+def _grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "chunks"), table(spark, d, "series"))
 
 
+def p7_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The grid, values to nine decimals."""
+    return _grid(spark, d).withColumn("value", F.round("value", 9))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_grid(spark, d).where("n_readings = 0").select("series_id", "slot_ms")
+    return _grid(spark, d).where("n_readings = 0").select("series_id", "slot_ms")
 
 
 def p7_series_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per series: cells of the grid, those observed and filled, and the time covered."""
     of = lambda status: F.count(F.when(F.col("status") == status, 1))
-    return p7_grid(spark, d).groupBy("series_id").agg(
+    return _grid(spark, d).groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n_slots"), of("observed").alias("n_observed"), of("filled").alias("n_filled"),
         F.sum(F.round(F.col("coverage") * grid.SLOT_MS)).cast("long").alias("covered_ms"))
 

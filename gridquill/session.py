@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,26 +39,50 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is used only where the setting is absent and no
-    checkpoint folder has been set, as in local tests.
+    A temporary folder of our own is used only in local mode, where the setting
+    is absent and no checkpoint folder has been set, as in tests; on a cluster
+    that is an error, since executors would not share it.  Checkpoints that this
+    package starts are deleted when the application ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured is None:
         present = context._jsc.sc().getCheckpointDir()
+        if not present.isDefined() and not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = present.get() if present.isDefined() else tempfile.mkdtemp(prefix="gridquill-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(configured)
+        _delete_at_end(spark, context._jsc.sc().getCheckpointDir().get())
     return configured
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/gridquill-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    _delete_at_end(spark, folder)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application; Python workers import it.
 
     In local mode they share the driver's path already.
     """
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or getattr(context, "_gridquill_shipped", False):
+    if _is_local(spark) or getattr(context, "_gridquill_shipped", False):
         return
     package = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="gridquill-")) / "gridquill.zip"  # read by the driver's own file server
