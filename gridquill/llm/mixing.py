@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut_lineage, spread
 
 #: A public tokenizer in the format of the ``tokenizers`` library.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SEED = 20_240_229
-#: The targets are a small table; more rows than this are refused.
-TARGETS_BOUND = 10_000
+#: Sources up to which the plan is broadcast; its length is known.
+PLAN_ROWS = 200_000
+#: Bits of a record's place in its source's seeded order, and how many of them each round of the search for a cut settles.
+ORDER_BITS, ROUND_BITS = 52, 13
 
 
 @dataclass(frozen=True)
 class Share:
-    """What a source is to give: ``repeats`` uses of each record on average."""
+    """What a source is to give: ``repeats`` uses of each record on average.
+
+    Every record is used ``whole`` times, and those whose seeded place is at
+    most ``(cut, cut_id)`` once more; no cut, no record more.
+    """
 
     source: str
     target: float
@@ -29,6 +36,17 @@ class Share:
     planned: float
     repeats: float
     capped: bool
+    cut: int | None = None
+    cut_id: int | None = None
+
+    @property
+    def whole(self) -> int:
+        return int(self.repeats)
+
+    @property
+    def rest(self) -> float:
+        """Tokens that the whole repeats leave to be had."""
+        return max(self.planned - self.whole * self.tokens, 0.0)
 
 
 def water_fill(tokens: Mapping[str, int], targets: Sequence[tuple[str, float, int]], total: float | None = None) -> list[Share]:
@@ -70,59 +88,116 @@ def source_key(source: Column) -> Column:
     return F.when(key != "", key)
 
 
-def _count_tokens(path: str):
+def _count_tokens(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(SparkFiles.get(name))
         tokenizer.encode_special_tokens = True
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             counts: list[int] = []
             for i in range(0, len(texts), 256):
-                counts += [len(e.ids) for e in tokenizer.encode_batch(texts[i:i + 256], add_special_tokens=False)]
+                counts += [len(e.ids) for e in tokenizer.encode_batch_fast(texts[i:i + 256], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["doc_id", "source", "n_tokens"])
     return run
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, source, n_tokens)`` with the source's common spelling; null text has no tokens."""
+    """``(doc_id, source, n_tokens)`` with the source's common spelling; null text has no tokens.
+
+    The tokenizer's file is given to the executors, which need not have it.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), "text"))
-    return rows.mapInArrow(_count_tokens(tokenizer), "doc_id bigint, source string, n_tokens bigint")
+    return rows.mapInArrow(_count_tokens(os.path.basename(tokenizer)), "doc_id bigint, source string, n_tokens bigint")
+
+
+def character_counts(documents: DataFrame) -> DataFrame:
+    """``token_counts`` with characters for tokens."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"),
+                            F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def read_targets(targets: DataFrame) -> list[tuple[str, float, int]]:
     """``(source, share, max_repeats)`` rows, one per source (the first by share)."""
-    rows = targets.select(source_key(F.col("source")).alias("s"), "target_share", "max_repeats").limit(TARGETS_BOUND + 1).collect()
-    if len(rows) > TARGETS_BOUND:
-        raise ValueError(f"more than {TARGETS_BOUND} targets")
+    rows = targets.select(source_key(F.col("source")).alias("s"), "target_share", "max_repeats").distinct().collect()
     out: dict[str, tuple[str, float, int]] = {}
     for s, w, m in sorted((tuple(r) for r in rows if r[0] is not None), key=lambda r: (r[0], -(r[1] or 0), r[2] or 0)):
         out.setdefault(s, (s, w, m))
     return list(out.values())
 
 
-def plan_mixture(counts: DataFrame, targets: DataFrame, total: float | None = None) -> list[Share]:
-    """The shares of each targeted source, from token totals per source."""
+def plan_mixture(counts: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> list[Share]:
+    """The shares of each targeted source, from token totals per source, and where its extra records end.
+
+    ``counts`` is read more than once; it is written to the shared folder by the
+    caller where it is costly.  What comes to the driver is one row per target.
+    """
     wanted = read_targets(targets)
-    names = [s for s, _, _ in wanted]
-    totals = counts.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("n_tokens").alias("n"))
-    return water_fill({r[0]: r[1] for r in totals.collect()}, wanted, total)  # one row per target at most
+    named = counts.sparkSession.createDataFrame([(s,) for s, _, _ in wanted], "t string")
+    held = counts.join(_small(named, len(wanted)), F.col("source") == F.col("t"), "left_semi")
+    totals = held.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    plan = water_fill({r[0]: r[1] for r in totals.collect()}, wanted, total)
+    cuts = {r[0]: r[1:] for r in _cuts(held, plan, seed).collect()}
+    return [replace(s, cut=cuts[s.source][0], cut_id=cuts[s.source][1]) if s.source in cuts else s for s in plan]
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= PLAN_ROWS else df
 
 
-def copies(plan: Sequence[Share], source: Column, doc_id: Column, seed: int = SEED) -> Column:
-    """How often a record is used: whole repeats, and one more for a seeded fraction of the records.
+def place(seed: int, source: Column, doc_id: Column) -> Column:
+    """A record's place in the seeded order of its source, ``ORDER_BITS`` bits that other engines can compute too."""
+    text = F.concat_ws("/", F.lit(str(seed)), source, doc_id.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("long")
 
-    Decided from the record alone, so any task gives the same answer again.
+
+def _cuts(counts: DataFrame, plan: Sequence[Share], seed: int) -> DataFrame:
+    """``(source, cut, cut_id)``: the last record of each source that is used once more.
+
+    Records are taken in seeded order as long as their middle lies within the
+    tokens still to be had, so what is reached is at most half a record off.
+    The place is found a few bits at a time, by sums over ranges of the order:
+    no task sorts a source, only the records that share a cut's last range.
+    """
+    spark = counts.sparkSession
+    rest = spark.createDataFrame([(s.source, float(s.rest)) for s in plan if s.rest > 0], "s string, rest double")
+    rows = counts.join(_small(rest, len(plan)), F.col("source") == F.col("s")).select(
+        "source", "doc_id", "n_tokens", "rest", place(seed, F.col("source"), F.col("doc_id")).alias("h"))
+    bits = ORDER_BITS
+    for _ in range(2):  # two rounds leave one record in 2 ** 26 of a source to be sorted
+        bits -= ROUND_BITS
+        ranges = rows.groupBy("source", F.shiftright("h", bits).alias("r")).agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("left"))
+        order = Window.partitionBy("source").orderBy("r")  # at most 2 ** ROUND_BITS rows
+        summed = ranges.withColumn("before", F.sum("n").over(order) - F.col("n"))
+        last = summed.where("before <= left").groupBy("source").agg(F.max(F.struct("r", "before"))["r"].alias("r"), F.max(F.struct("r", "before"))["before"].alias("before"))
+        # the last range that begins within the rest has the cut, or ends right before it
+        found = last.select(F.col("source").alias("s"), "r", "before")
+        rows = rows.join(_small(found, len(plan)), (F.col("source") == F.col("s")) & (F.shiftright("h", bits) == F.col("r"))).select(
+            "source", "doc_id", "n_tokens", (F.col("rest") - F.col("before")).alias("rest"), "h")
+    order = Window.partitionBy("source").orderBy("h", "doc_id")
+    ended = rows.withColumn("middle", F.sum("n_tokens").over(order) - F.col("n_tokens") / 2)
+    used = ended.where("middle <= rest").groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("c"))
+    # none of the last range: the cut is before its first record
+    first = rows.groupBy("source").agg(F.min("h").alias("h0"))
+    return first.join(used, "source", "left").select(
+        "source", F.coalesce("c.h", F.shiftleft(F.shiftright("h0", bits), bits) - 1).alias("cut"), F.coalesce("c.doc_id", F.lit((1 << 63) - 1)).alias("cut_id"))
+
+
+def with_copies(df: DataFrame, plan: Sequence[Share], seed: int = SEED) -> DataFrame:
+    """``df`` (with ``source`` and ``doc_id``) and how often each record is used, as ``_uses``.
+
+    Decided from the record and the plan alone, so any task gives the same answer again.
     """
-    chance = F.pmod(F.xxhash64(F.lit(seed), source, doc_id), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    used = F.lit(0)
-    for s in plan:
-        whole = int(s.repeats)
-        extra = F.when(chance < F.lit(s.repeats - whole), 1).otherwise(0)
-        used = F.when(source == s.source, F.lit(whole) + extra).otherwise(used)
-    return F.coalesce(used, F.lit(0)).cast("int")
+    lines = df.sparkSession.createDataFrame([(s.source, s.whole, s.cut, s.cut_id) for s in plan], "_s string, _whole int, _cut bigint, _cut_id bigint")
+    id_ = F.col("doc_id").cast("long")
+    h = place(seed, F.col("source"), id_)
+    more = (h < F.col("_cut")) | (h == F.col("_cut")) & (id_ <= F.col("_cut_id"))
+    joined = df.join(_small(lines, len(plan)), F.col("source") == F.col("_s"), "left")
+    uses = F.coalesce(F.col("_whole") + F.coalesce(more, F.lit(False)).cast("int"), F.lit(0))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], uses.alias("_uses"))
 
 
 def mix(documents: DataFrame, plan: Sequence[Share], seed: int = SEED) -> DataFrame:
@@ -130,12 +205,13 @@ def mix(documents: DataFrame, plan: Sequence[Share], seed: int = SEED) -> DataFr
 
     Columns of ``documents`` stay as they are, ``source`` in its common
     spelling; records without a source or of an untargeted one are left out.
-    A ``copy_no`` that is there already is replaced.
+    A ``copy_no`` that is there already is replaced; columns called ``_uses``,
+    ``_s``, ``_whole``, ``_cut`` and ``_cut_id`` are dropped.
     No shuffle: a source that holds most rows costs nothing extra.
     """
-    keyed = documents.withColumn("source", source_key(F.col("source")))
+    keyed = documents.drop("_uses", "_s", "_whole", "_cut", "_cut_id").withColumn("source", source_key(F.col("source")))
     rest = [F.col(f"`{c}`") for c in keyed.columns if c != "copy_no"]
-    times = copies(plan, F.col("source"), F.col("doc_id"), seed)
+    keyed, times = with_copies(keyed, plan, seed), F.col("_uses")
     # no copies, no row: the sequence of a record that is not used is empty
     numbers = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
     return keyed.select(*rest, F.explode(numbers).alias("copy_no"))
@@ -147,8 +223,7 @@ def reached_shares(counts: DataFrame, plan: Sequence[Share], seed: int = SEED) -
     mixture = sum(s.planned for s in plan)
     rows = [(s.source, s.target, s.tokens, s.planned / mixture if mixture else 0.0, s.repeats, s.capped) for s in plan]
     planned = spark.createDataFrame(rows, "source string, target_share double, source_tokens bigint, planned_share double, repeats double, capped boolean")
-    times = copies(plan, F.col("source"), F.col("doc_id"), seed)
-    used = counts.withColumn("t", times).groupBy("source").agg(
+    used = with_copies(counts.select("doc_id", "source", "n_tokens"), plan, seed).withColumnRenamed("_uses", "t").groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("t")).alias("tokens"), F.sum("t").cast("long").alias("records"), F.max("t").alias("most"))
     joined = planned.join(used.withColumnRenamed("source", "s"), F.col("source") == F.col("s"), "left").drop("s")
     whole = joined.select(

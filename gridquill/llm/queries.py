@@ -73,12 +73,33 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).select("doc_id", "item_id")
 
 
+def p8_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold twelve consecutive words of a passage."""
+    return p8_report(spark, d).where("match_kind = 'verbatim'").select("doc_id", "item_id")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "source", "text")
-    plan = mixing.plan_mixture(mixing.token_counts(documents), table(spark, d, "mix_targets"))
+    plan = mixing.plan_mixture(cut_lineage(mixing.token_counts(documents)), table(spark, d, "mix_targets"))
     return mixing.mix(documents, plan)
 
 
+def _in_characters(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share]]:
+    counts = mixing.character_counts(table(spark, d, "documents"))
+    return counts, mixing.plan_mixture(counts, table(spark, d, "mix_targets"))
+
+
+def p9_mix_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture by characters, a size that SQL can follow."""
+    documents = table(spark, d, "documents").select("doc_id", "source")
+    return mixing.mix(documents, _in_characters(spark, d)[1])
+
+
+def p9_shares_characters(spark: SparkSession, d: str) -> DataFrame:
+    out = mixing.reached_shares(*_in_characters(spark, d))
+    return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     counts = cut_lineage(mixing.token_counts(table(spark, d, "documents")))
     return mixing.reached_shares(counts, mixing.plan_mixture(counts, table(spark, d, "mix_targets")))
@@ -94,5 +115,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_frequent_values, p2_distinct_counts, p2_distinct_counts_md5,
                                                   p2_merged_loads, p2_bound_checked,
-                                                  p8_found, p8_report, p9_mix, p9_shares,
+                                                  p8_found, p8_report, p8_verbatim, p9_mix, p9_shares, p9_mix_characters, p9_shares_characters,
                                                   p10_found, p10_restored)}

@@ -149,3 +149,28 @@ def test_every_likely_chain_is_tried(detector):
     own = X.Detector(detector.model)
     own.seen[bad] = np.array([-60.0 if c == "clean" else 0.0 if c in wrong else -10.0 if c == "utf8>cp1252" else -90.0 for c in ("clean", *X.CHAINS)])
     assert len(wrong) == 6 and own.chain_of_tokens([bad]) == "utf8>cp1252"
+
+
+def test_restored_texts_of_the_corpus(spark):
+    """Clean posts of the corpus, garbled here by known chains, wholly or one paragraph: the originals come back."""
+    posts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = X.train(posts)
+    found = {r.doc_id for r in X.find_garbled(posts, model).select("doc_id").collect()}
+    clean = [r for r in posts.where(F.col("text").rlike(r"[^\x00-\x7F]")).collect() if r.doc_id not in found and "�" not in r.text and "`" not in r.text and "<" not in r.text][:120]
+    chains = ("utf8>cp1252", "utf8>latin1", "utf8>cp1252 twice", "utf8>cp437", "utf8>mac_roman", "utf8>cp1251")
+    made, originals = [], {}
+    for n, r in enumerate(clean):
+        chain = chains[n % len(chains)]
+        parts = r.text.split("\n\n")
+        if n % 2 and len(parts) > 1:
+            at = max(range(len(parts)), key=lambda i: sum(not c.isascii() for c in parts[i]))
+            bad = X.garble(parts[at], chain)
+            text = None if bad is None else "\n\n".join(parts[:at] + [bad] + parts[at + 1:])
+        else:
+            text = X.garble(r.text, chain)
+        if text is not None and text != r.text:
+            originals[n] = r.text
+            made.append((n, referred(text) if n % 5 == 0 else text))
+    got = {r.doc_id: r for r in X.find_garbled(spark.createDataFrame(made, "doc_id long, text string"), model).collect()}
+    right = sum(n in got and got[n].restored_text == originals[n] for n in originals)
+    assert len(originals) > 80 and len(got) >= 0.97 * len(originals) and right >= 0.9 * len(originals)

@@ -3,7 +3,7 @@ from math import ceil, floor
 
 from pyspark.sql import functions as F
 
-from gridquill.llm.leakage import Compiled, find_leaks, words
+from gridquill.llm.leakage import AUTOMATON_WORDS, Compiled, find_leaks, words
 
 
 def lcs(a, b):
@@ -56,7 +56,7 @@ def test_against_brute_force(spark):
     i = spark.createDataFrame([(k, p, "42") for k, p in items], "item_id long, passage string, answer string")
     want = brute([x for x in docs if x[0] != 903], items) | {(903, k) for k, p in items if p == items[3][1]}
     want |= {(903, k) for k, p in items if brute([(903, "filler " * 40 + items[3][1])], [(k, p)])}
-    for block in (1000, 3):
+    for block in (AUTOMATON_WORDS, 150):
         rows = find_leaks(d, i, block).collect()
         assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
         assert {(r.doc_id, r.item_id) for r in rows} == want

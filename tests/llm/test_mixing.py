@@ -64,3 +64,28 @@ def test_empty(spark):
     assert M.mix(none, plan).count() == 0
     assert {r.reached_share for r in M.reached_shares(M.token_counts(none), plan).collect()} == {0.0}
     assert M.mix(docs(spark), M.plan_mixture(M.token_counts(docs(spark)), targets(spark).limit(0))).count() == 0
+
+
+def test_records_are_taken_in_order_until_the_budget_is_met(spark):
+    """Against a plain loop; sizes vary widely, some are 0, one source has many records of one place."""
+    import hashlib
+
+    sized = [(i, ("a", "b", "c")[i % 3], 0 if i % 11 == 0 else (i * 37) % 500 + (90_000 if i == 4 else 0)) for i in range(700)] + [(7, "b", 30)] * 5 + [(9, None, 5), (10, "d", 5)]
+    counts = spark.createDataFrame(sized, "doc_id long, source string, n_tokens long")
+    wanted = spark.createDataFrame([("a", .2, 1), ("b", .7, 2), ("c", .1, 4)], "source string, target_share double, max_repeats int")
+    plan = {s.source: s for s in M.plan_mixture(counts, wanted)}
+    got = {}
+    for r in M.with_copies(counts, list(plan.values())).collect():
+        got.setdefault(r.source, []).append((r.doc_id, r._uses))
+    for source, share in plan.items():
+        own = sorted((int(hashlib.md5(f"{M.SEED}/{source}/{i}".encode()).hexdigest()[:13], 16), i, n) for i, s, n in sized if s == source)
+        taken, held = [], 0
+        for h, i, n in own:
+            held += n
+            if share.rest > 0 and held - n / 2 <= share.rest:
+                taken.append((h, i))
+        want = [(i, share.whole + (bool(taken) and (h, i) <= max(taken))) for h, i, n in own]
+        assert sorted(got[source]) == sorted(want), source
+        used = sum(n * u for (_, _, n), (_, u) in zip(own, want))
+        assert abs(used - share.planned) <= max(n for _, _, n in own) / 2 + 30 * 5
+    assert {u for s in (None, "d") for _, u in got[s]} == {0}
