@@ -13,22 +13,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut_lineage, ship
 
 #: Share of all rows from which a value counts as frequent.
 MIN_SHARE = 0.005
 #: Rows that a map task holds before it writes them out as one sorted run.
 RUN_ROWS = 262_144
+#: Bytes after which it does so too, however few the rows.
+RUN_BYTES = 64 << 20
 
 _RUN = "label_name string, label_value string, n bigint"
 
 
 def _runs(names: Sequence[str], run_rows: int):
-    """Cut a partition into sorted runs with combined counts, a column at a time."""
+    """Cut a partition into sorted runs with combined counts, a column at a time.
+
+    Each run begins with the number of its rows, under no label.
+    """
     schema = pa.schema([("label_name", pa.string()), ("label_value", pa.string()), ("n", pa.int64())])
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([table.num_rows], pa.int64())], schema=schema)
         for i, name in enumerate(names):
             column = table.column(i)
             column = column.filter(pc.fill_null(pc.not_equal(column, ""), False))
@@ -39,13 +45,13 @@ def _runs(names: Sequence[str], run_rows: int):
                 yield from out.to_batches(max_chunksize=65_536)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
         for b in batches:
             held.append(b)
-            rows += b.num_rows
-            if rows >= run_rows:
+            rows, size = rows + b.num_rows, size + b.nbytes
+            if rows >= run_rows or size >= RUN_BYTES:
                 yield from flush(held)
-                held, rows = [], 0
+                held, rows, size = [], 0, 0
         if rows:
             yield from flush(held)
 
@@ -125,13 +131,16 @@ def frequent_values(df: DataFrame, columns: Sequence[str], min_share: float = MI
     are range-partitioned by value, each range is merged in sort order and
     equal neighbours are added up.  Memory is bounded by a run and, per range,
     by a heap of ``1 / min_share`` values per column: no more can be frequent,
-    so the heap loses none.  A hot value reaches its range once per run.
+    so the heap loses none.  A hot value reaches its range once per run.  The
+    runs are written to the shared folder, where ranges are sampled from and
+    read; they also tell the number of rows, so ``df`` is read once.
     """
     ship(df.sparkSession)
-    total = df.count()
     keep = math.ceil(1 / Fraction(str(min_share)))
     texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
-    runs = texts.mapInArrow(_runs(list(columns), run_rows), _RUN)
+    written = cut_lineage(texts.mapInArrow(_runs(list(columns), run_rows), _RUN))
+    total = written.where("label_name is null").agg(F.sum("n")).first()[0] or 0
+    runs = written.where("label_name is not null")
     ranged = runs.repartitionByRange("label_name", "label_value").sortWithinPartitions("label_name", "label_value")
     tops = ranged.mapInArrow(_merge(keep), _RUN)
     least = math.ceil(Fraction(str(min_share)) * total)  # whole rows, so that no rounding moves the edge
