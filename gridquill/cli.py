@@ -1,6 +1,7 @@
-"""Command line: convert samples to a chunk table, read a chunk table.
+"""Command line: convert samples or blocks to a chunk table, read a chunk table.
 
     python -m gridquill.cli convert SAMPLES OUT --labels job,instance
+    python -m gridquill.cli convert-blocks OUT BLOCK [BLOCK ...]
     python -m gridquill.cli read TABLE --metric NAME --columns __chunk_bytes
 """
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from .operators.projection import project
 from .operators.scan import equals, scan
-from .schema import NAME, PAYLOAD
+from .operators.series import assign_series_ids
+from .schema import NAME, PAYLOAD, make_chunk_rows
 from .session import RECOMMENDED
 from .sinks.writer import compact, write_parts
+from .sources.blocks import read_blocks
 from .sources.samples import samples_to_chunks
 
 
@@ -28,6 +31,15 @@ def convert(spark: SparkSession, samples: str, out: str, labels: Sequence[str],
     compact(spark, f"{out}/parts", f"{out}/compact", files)
 
 
+def convert_blocks(spark: SparkSession, blocks: Sequence[str], out: str, files: int | None = None) -> None:
+    """Blocks to ``out/parts`` and ``out/compact``, with a column for every label name that occurs."""
+    rows = read_blocks(spark, blocks)
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("labels"))).distinct().collect())  # the columns of the table
+    chunks = assign_series_ids(make_chunk_rows(rows, "labels", names), names)
+    write_parts(chunks, f"{out}/parts", names, mode="overwrite")
+    compact(spark, f"{out}/parts", f"{out}/compact", files)
+
+
 def read(spark: SparkSession, path: str, metric: str, columns: Sequence[str] = (PAYLOAD,)) -> DataFrame:
     """The columns of one metric's chunks."""
     return project(scan(spark.read.parquet(path), [equals(NAME, metric)]), columns)
@@ -47,6 +59,10 @@ def main(argv: Sequence[str] | None = None) -> None:
     c.add_argument("out")
     c.add_argument("--labels", required=True)
     c.add_argument("--files", type=int)
+    b = commands.add_parser("convert-blocks")
+    b.add_argument("out")
+    b.add_argument("blocks", nargs="+")
+    b.add_argument("--files", type=int)
     r = commands.add_parser("read")
     r.add_argument("table")
     r.add_argument("--metric", required=True)
@@ -60,6 +76,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     began = time.perf_counter()
     if a.command == "convert":
         convert(spark, a.samples, a.out, a.labels.split(","), a.files)
+    elif a.command == "convert-blocks":
+        convert_blocks(spark, a.blocks, a.out, a.files)
     else:
         rows = read(spark, a.table, a.metric, a.columns.split(","))
         if a.text:

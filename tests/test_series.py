@@ -10,24 +10,24 @@ from gridquill.functions.payload import readings
 
 def chunks(spark, series):
     """Three one-minute chunks per series, chunk-major."""
-    rows = [(i, c * 60_000, (c + 1) * 60_000, b"", "http_requests_total", job, inst)
+    rows = [(i, c * 60_000, (c + 1) * 60_000, b"", "queue_reads_total", job, inst)
             for c in range(3) for i, (job, inst) in enumerate(series)]
     return spark.createDataFrame(rows, "__series__id long, __mint long, __maxt long, __chunk_bytes binary, __name__ string, job string, instance string")
 
 
-THREE = [("api-server", "0"), ("api-server", "1"), ("kubelet", "0")]
+THREE = [("loader-a", "0"), ("loader-a", "1"), ("writer", "0")]
 
 
 def test_sum_over_grid(spark):
-    out = range_query(chunks(spark, THREE), "sum(http_requests_total)", 0, 300_000, 60_000)
+    out = range_query(chunks(spark, THREE), "sum(queue_reads_total)", 0, 300_000, 60_000)
     assert sorted(tuple(r) for r in out.collect()) == [(t * 60_000, 3.0) for t in range(6)]
 
 
 @pytest.mark.parametrize("query,expected", [
-    ("sum by (job) (http_requests_total)", {("api-server", 2.0), ("kubelet", 1.0)}),
-    ('count(http_requests_total{job!="kubelet"}) by (instance)', {("0", 1.0), ("1", 1.0)}),
-    ('max without (instance) ({job=~"api.*"})', {("api-server", 1.0)}),
-    ('avg by (nope) (http_requests_total{instance="1",})', {(1.0,)}),
+    ("sum by (job) (queue_reads_total)", {("loader-a", 2.0), ("writer", 1.0)}),
+    ('count(queue_reads_total{job!="writer"}) by (instance)', {("0", 1.0), ("1", 1.0)}),
+    ('max without (instance) ({job=~"loader.*"})', {("loader-a", 1.0)}),
+    ('avg by (nope) (queue_reads_total{instance="1",})', {(1.0,)}),
 ])
 def test_grouping(spark, query, expected):
     out = range_query(chunks(spark, THREE), query, 0, 180_000, 300_000).drop("t")
@@ -36,9 +36,9 @@ def test_grouping(spark, query, expected):
 
 def test_select_series_and_labels(spark):
     engine = ChunkEngine(chunks(spark, THREE), 0, 10**9)
-    got = {tuple(r) for r in engine.select_series([equals("__name__", "http_requests_total")], ["instance"]).collect()}
+    got = {tuple(r) for r in engine.select_series([equals("__name__", "queue_reads_total")], ["instance"]).collect()}
     assert got == {("0", "0"), ("1", "1"), ("2", "0")}
-    assert {r[0] for r in engine.label_values("job").collect()} == {"api-server", "kubelet"}
+    assert {r[0] for r in engine.label_values("job").collect()} == {"loader-a", "writer"}
     assert {r[0] for r in engine.label_names().collect()} == {"__name__", "job", "instance"}
     assert engine.between(1, 10**9).select([]).count() == 6
     assert ChunkEngine(engine.chunks, 1, 59_999, mode="overlap").select([]).count() == 3
@@ -46,13 +46,13 @@ def test_select_series_and_labels(spark):
 
 
 @pytest.mark.parametrize("series,expected", [
-    ([("api-server", "0")], [("0", "0")]),
+    ([("loader-a", "0")], [("0", "0")]),
     (THREE, [("0", "0"), ("2", "0"), ("1", "1")]),
-    ([(j, i) for j in ("api-server", "kubelet") for i in "012"], [("0", "0"), ("3", "0"), ("1", "1"), ("4", "1"), ("2", "2"), ("5", "2")]),
+    ([(j, i) for j in ("loader-a", "writer") for i in "012"], [("0", "0"), ("3", "0"), ("1", "1"), ("4", "1"), ("2", "2"), ("5", "2")]),
 ])
 def test_series_come_in_the_order_of_the_sorted_table(spark, series, expected):
     engine = ChunkEngine(chunks(spark, series).repartition(5), 0, 10**9)
-    got = engine.select_series_ordered([equals("__name__", "http_requests_total")], ["instance"]).collect()
+    got = engine.select_series_ordered([equals("__name__", "queue_reads_total")], ["instance"]).collect()
     assert [tuple(r) for r in got] == [(i, *e) for i, e in enumerate(expected)]
     assert engine.select_series_ordered([equals("job", "none")]).count() == 0
 
