@@ -140,7 +140,7 @@ def plan_mixture(counts: DataFrame, targets: DataFrame, total: float | None = No
     held = counts.join(_small(named, len(wanted)), F.col("source") == F.col("t"), "left_semi")
     totals = held.groupBy("source").agg(F.sum("n_tokens").alias("n"))
     plan = water_fill({r[0]: r[1] for r in totals.collect()}, wanted, total)
-    cuts = {r[0]: r[1:] for r in _cuts(held, plan, seed).collect()}
+    cuts = _cuts(held, plan, seed)
     return [replace(s, cut=cuts[s.source][0], cut_id=cuts[s.source][1]) if s.source in cuts else s for s in plan]
 
 
@@ -154,36 +154,36 @@ def place(seed: int, source: Column, doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("long")
 
 
-def _cuts(counts: DataFrame, plan: Sequence[Share], seed: int) -> DataFrame:
-    """``(source, cut, cut_id)``: the last record of each source that is used once more.
+def _cuts(counts: DataFrame, plan: Sequence[Share], seed: int) -> dict[str, tuple[int, int]]:
+    """The place and id of the last record of each source that is used once more.
 
     Records are taken in seeded order as long as their middle lies within the
     tokens still to be had, so what is reached is at most half a record off.
     The place is found a few bits at a time, by sums over ranges of the order:
     no task sorts a source, only the records that share a cut's last range.
+    Each round is one pass over the counts and gives one row per source.
     """
     spark = counts.sparkSession
-    rest = spark.createDataFrame([(s.source, float(s.rest)) for s in plan if s.rest > 0], "s string, rest double")
-    rows = counts.join(_small(rest, len(plan)), F.col("source") == F.col("s")).select(
-        "source", "doc_id", "n_tokens", "rest", place(seed, F.col("source"), F.col("doc_id")).alias("h"))
-    bits = ORDER_BITS
+    placed = counts.select("source", "doc_id", "n_tokens", place(seed, F.col("source"), F.col("doc_id")).alias("h"))
+    bits, state = ORDER_BITS, {s.source: (0, float(s.rest)) for s in plan if s.rest > 0}
+
+    def within(bits: int) -> DataFrame:
+        """The records of the range that each source's cut is known to lie in."""
+        known = spark.createDataFrame([(s, *x) for s, x in state.items()], "s string, range bigint, left double")
+        return placed.join(_small(known, len(state)), (F.col("source") == F.col("s")) & (F.shiftright("h", bits) == F.col("range")))
+
     for _ in range(2):  # two rounds leave one record in 2 ** 26 of a source to be sorted
-        bits -= ROUND_BITS
-        ranges = rows.groupBy("source", F.shiftright("h", bits).alias("r")).agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("left"))
-        order = Window.partitionBy("source").orderBy("r")  # at most 2 ** ROUND_BITS rows
-        summed = ranges.withColumn("before", F.sum("n").over(order) - F.col("n"))
-        last = summed.where("before <= left").groupBy("source").agg(F.max(F.struct("r", "before"))["r"].alias("r"), F.max(F.struct("r", "before"))["before"].alias("before"))
-        # the last range that begins within the rest has the cut, or ends right before it
-        found = last.select(F.col("source").alias("s"), "r", "before")
-        rows = rows.join(_small(found, len(plan)), (F.col("source") == F.col("s")) & (F.shiftright("h", bits) == F.col("r"))).select(
-            "source", "doc_id", "n_tokens", (F.col("rest") - F.col("before")).alias("rest"), "h")
+        rows, bits = within(bits), bits - ROUND_BITS
+        ranges = rows.groupBy("source", "left", F.shiftright("h", bits).alias("r")).agg(F.sum("n_tokens").alias("n"))
+        before = (F.sum("n").over(Window.partitionBy("source").orderBy("r")) - F.col("n")).alias("before")  # at most 2 ** ROUND_BITS rows
+        # the last range that begins within the rest has the cut, or the cut is right before it
+        last = ranges.select("source", "left", "r", before).where("before <= left").groupBy("source", "left").agg(F.max(F.struct("r", "before")).alias("m"))
+        state = {source: (m.r, left - m.before) for source, left, m in last.collect()}
     order = Window.partitionBy("source").orderBy("h", "doc_id")
-    ended = rows.withColumn("middle", F.sum("n_tokens").over(order) - F.col("n_tokens") / 2)
-    used = ended.where("middle <= rest").groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("c"))
-    # none of the last range: the cut is before its first record
-    first = rows.groupBy("source").agg(F.min("h").alias("h0"))
-    return first.join(used, "source", "left").select(
-        "source", F.coalesce("c.h", F.shiftleft(F.shiftright("h0", bits), bits) - 1).alias("cut"), F.coalesce("c.doc_id", F.lit((1 << 63) - 1)).alias("cut_id"))
+    ended = within(bits).withColumn("middle", F.sum("n_tokens").over(order) - F.col("n_tokens") / 2)
+    used = ended.where("middle <= left").groupBy("source").agg(F.max(F.struct("h", "doc_id")).alias("c"))
+    cuts = {source: ((place_ << bits) - 1, (1 << 63) - 1) for source, (place_, _) in state.items()}
+    return cuts | {source: (c.h, c.doc_id) for source, c in used.collect()}
 
 
 def with_copies(df: DataFrame, plan: Sequence[Share], seed: int = SEED) -> DataFrame:
