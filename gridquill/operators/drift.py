@@ -295,9 +295,8 @@ def consistent_table(rows: DataFrame, rename_share: float = RENAME_SHARE, route_
     parsed = met.select("w", "part_no", "row_no", "route", F.from_json("record", "map<string,variant>").alias("m"))
     entries = F.filter(F.coalesce(F.map_entries("m"), F.array().cast("array<struct<key:string,value:variant>>")), lambda x: ~x["key"].isin(*FIXED_KEYS))
     read = F.transform(entries, lambda x: F.struct(
-        x["key"].alias("label"), F.try_element_at("route", x["key"]).alias("to"), F.schema_of_variant(x["value"]).alias("t"),
-        F.try_variant_get(x["value"], "$", "string").alias("text")))
-    given = F.filter(read, lambda x: (x["t"] != "VOID") & (x["text"] != ""))
+        x["key"].alias("label"), F.try_element_at("route", x["key"]).alias("to"), F.try_variant_get(x["value"], "$", "string").alias("text")))
+    given = F.filter(read, lambda x: x["text"] != "")  # a JSON null has no text
     routed = F.sort_array(F.transform(given, lambda x: F.struct(
         F.coalesce(x["to"]["target"], x["label"]).alias("target"), x["text"].alias("text"), F.coalesce(x["to"]["cast_to"], F.lit("string")).alias("cast_to"))))
     listed = parsed.select("w", "part_no", "row_no", "m", routed.alias("l"))
@@ -309,13 +308,14 @@ def consistent_table(rows: DataFrame, rename_share: float = RENAME_SHARE, route_
         return F.when(exact == F.floor(exact), exact).try_cast("bigint")
 
     casts = {"string": lambda t: t, "integer": whole, "decimal": lambda t: t.try_cast("double"), "boolean": lambda t: t.try_cast("boolean")}
+    cells = F.transform("l", lambda x: F.struct(
+        x["target"].alias("target"), x["text"].alias("text"), *[F.when(x["cast_to"] == kind, cast(x["text"])).alias(kind) for kind, cast in casts.items()]))
+    single = single.select("w", "part_no", "row_no", "m", cells.alias("cells"))
 
     def of(kind: str) -> Column:
-        typed = F.transform(F.filter("l", lambda x: x["cast_to"] == kind), lambda x: F.struct(x["target"].alias("k"), casts[kind](x["text"]).alias("v")))
-        return F.map_from_entries(F.filter(typed, lambda x: x["v"].isNotNull()))
+        return F.map_from_entries(F.transform(F.filter("cells", lambda x: x[kind].isNotNull()), lambda x: F.struct(x["target"], x[kind])))
 
-    unread = F.filter("l", lambda x: F.when(x["cast_to"] == "integer", whole(x["text"]).isNull()).when(x["cast_to"] == "decimal", x["text"].try_cast("double").isNull())
-                      .when(x["cast_to"] == "boolean", x["text"].try_cast("boolean").isNull()).otherwise(F.lit(False)))
+    unread = F.filter("cells", lambda x: F.coalesce(*[x[kind].cast("string") for kind in casts]).isNull())
     fixed = [F.expr(f"try_variant_get(m['{k}'], '$', '{t}')").alias(n) for k, t, n in (
         ("__series__id", "bigint", "series_id"), ("__mint", "bigint", "mint"), ("__maxt", "bigint", "maxt"), ("__name__", "string", "name"))]
     return single.select(
