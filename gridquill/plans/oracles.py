@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from .queries import BUCKET, END, LABELS, START, STEP, T0, T1
+from .queries import BUCKET, DAYS, END, LABELS, START, STEP, T0, T1
 from .promql import LOOKBACK_MS
 
 _GRID = f"(SELECT unnest(range({START}, {END} + 1, {STEP}))::BIGINT AS t)"
 _LO = START - LOOKBACK_MS
+_DAYS_GRID = f"(SELECT unnest(range({DAYS[0]}, {DAYS[1]} + 1, {DAYS[2]}))::BIGINT AS t)"
+_DAYS_LO = DAYS[0] - LOOKBACK_MS
 _ALL = ", ".join(f"coalesce({c}, '') AS {c}" for c in LABELS)
 
 _CELLS = f"""
@@ -294,6 +296,15 @@ ORACLES: dict[str, str] = {
         .replace("WHERE __mint <= __maxt", f"WHERE __mint <= __maxt AND __maxt >= {_LO} AND __mint <= {END} AND coalesce(job, '') <> ''")},
         b AS (SELECT g.t AS t, cluster, arg_max(v, (r.t, v)) AS v FROM readings r JOIN {_GRID} g ON r.t <= g.t AND r.t > g.t - {LOOKBACK_MS}
           GROUP BY series_id, cluster, g.t) SELECT cluster, t, max(v) AS value FROM b GROUP BY cluster, t""",
+    "promql_decoded_max_fortnight": f"""WITH {READINGS.replace("__maxt AS z,", "__maxt AS z, coalesce(cluster, '') AS cluster,")
+        .replace("SELECT series_id, a, z, try", "SELECT series_id, cluster, a, z, try").replace("SELECT series_id, a + o", "SELECT series_id, cluster, a + o")
+        .replace("WHERE __mint <= __maxt", f"WHERE __mint <= __maxt AND __maxt >= {_DAYS_LO} AND __mint <= {DAYS[1]} AND coalesce(job, '') <> ''")},
+        b AS (SELECT g.t AS t, cluster, arg_max(v, (r.t, v)) AS v FROM readings r JOIN {_DAYS_GRID} g ON r.t <= g.t AND r.t > g.t - {LOOKBACK_MS}
+          GROUP BY series_id, cluster, g.t) SELECT cluster, t, max(v) AS value FROM b GROUP BY cluster, t""",
+    "promql_sum_by_fortnight": f"""WITH s AS (SELECT __series__id, min(coalesce(job,'')) AS job, min(coalesce(namespace,'')) AS namespace FROM chunk_index
+          WHERE __mint >= {_DAYS_LO} AND __maxt <= {DAYS[1]} AND coalesce(job, '') <> '' GROUP BY __series__id),
+        g AS (SELECT job, namespace, CAST(count(*) AS DOUBLE) AS value FROM s GROUP BY job, namespace)
+        SELECT job, namespace, t, value FROM g, {_DAYS_GRID}""",
     "p3_found": SPANS + " SELECT * FROM spans",
     "p3_series_coverage": SPANS + """ SELECT series_id, count(*) FILTER (span_kind = 'period') AS n_periods,
         count(*) FILTER (span_kind = 'gap') AS n_gaps, CAST(sum(end_ms - start_ms) FILTER (span_kind = 'period') AS BIGINT) AS period_ms,

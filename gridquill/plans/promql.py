@@ -113,7 +113,8 @@ def range_query(chunks: DataFrame, text: str, start: int, end: int, step: int, s
 
     ``samples="const"`` gives each selected series the value 1 at every step;
     ``"decoded"`` takes the latest usable reading no older than ``lookback``.
-    The grid is generated per row (``sequence``), so nothing is cross-joined.
+    The grid is generated per row (``sequence``), so nothing is cross-joined;
+    constant samples are the same at every step and are aggregated before it.
     """
     if step <= 0 or end < start:
         raise QueryError("the grid needs a positive step and start <= end")
@@ -126,8 +127,15 @@ def range_query(chunks: DataFrame, text: str, start: int, end: int, step: int, s
     engine = ChunkEngine(chunks, start - lookback, end, mode, on_missing)
     rows = engine.select(q.matchers)
     grid = F.sequence(F.lit(start).cast("long"), F.lit(end).cast("long"), F.lit(step).cast("long"))
+    measure = {
+        "sum": F.sum("v"), "count": F.count("v").cast("double"), "min": F.min("v"), "max": F.max("v"),
+        "avg": F.avg("v"), "group": F.max(F.lit(1.0)), None: None,
+    }[q.aggregation]
     if samples == "const":
         series = engine.select_series(q.matchers, out)
+        if q.aggregation is not None:
+            once = series.withColumn("v", F.lit(1.0)).groupBy(*out).agg(measure.alias("value"), F.count("v").alias("_n"))
+            return once.where("_n > 0").select(*out, F.explode(grid).alias("t"), "value")
         values = series.select(SERIES, *out, F.explode(grid).alias("t"), F.lit(1.0).alias("v"))
     elif samples == "decoded":
         values = _decoded(rows, out, start, end, step, lookback)
@@ -135,10 +143,6 @@ def range_query(chunks: DataFrame, text: str, start: int, end: int, step: int, s
         raise ValueError(f"unknown samples {samples!r}")
     if q.aggregation is None:
         return values.select(F.col(SERIES).cast("string").alias(SERIES), *out, "t", F.col("v").alias("value"))
-    measure = {
-        "sum": F.sum("v"), "count": F.count("v").cast("double"), "min": F.min("v"), "max": F.max("v"),
-        "avg": F.avg("v"), "group": F.max(F.lit(1.0)),
-    }[q.aggregation]
     return values.groupBy(*out, "t").agg(measure.alias("value"))
 
 

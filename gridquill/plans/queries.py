@@ -27,6 +27,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 T0, T1 = 1_741_000_000_000, 1_741_300_000_000
 #: Grid of the range queries, ms.
 START, END, STEP = 1_741_000_020_000, 1_741_021_620_000, 1_800_000
+#: The same over all fourteen days of the tables.
+DAYS = (1_740_787_200_000, 1_741_996_800_000, 1_800_000)
 #: Bucket of the chunks derived from ``events``, ms.
 BUCKET = 7_200_000
 LABELS = ["__name__", "container_id", "instance", "job", "namespace", "pod", "route"]
@@ -216,10 +218,10 @@ def compact_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/compact").select(*_IDS, *LABELS)
 
 
-def _prom(text: str, **more) -> Query:
+def _prom(text: str, span: tuple[int, int, int] = (START, END, STEP), **more) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         source = table(spark, d, "chunks") if more.get("samples") == "decoded" else _index(spark, d)
-        out = range_query(source, text, START, END, STEP, **more)
+        out = range_query(source, text, *span, **more)
         return out.withColumnRenamed(SERIES, "series_id").withColumnRenamed(NAME, "metric") if SERIES in out.columns else out
     return run
 
@@ -315,6 +317,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     "promql_sum": _prom('sum(beacon_retry_total{namespace!="lab"})'),
     "promql_sum_by": _prom("sum by (job, namespace) (beacon_retry_total)"),
     "promql_count_without": _prom('count without (container_id, instance, pod, route) ({job=~"ing.*"})'),
+    "promql_sum_by_fortnight": _prom("sum by (job, namespace) ({job!=\"\"})", DAYS),
+    "promql_decoded_max_fortnight": _prom("max by (cluster) ({job!=\"\"})", DAYS, samples="decoded", mode="overlap"),
     "promql_selector": _prom('{job="ingest", route=""}'),
     "promql_decoded_max": _prom("max by (cluster) ({job!=\"\"})", samples="decoded", mode="overlap"),
 } | {f.__name__: f for f in (
