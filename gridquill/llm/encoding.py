@@ -63,6 +63,7 @@ _TELLING = {c for c in CHAINS if c.startswith("utf8") or c in (
     "cp1251>cp1252", "cp1251>koi8_r", "koi8_r>cp1251", "cp866>cp1251", "cp1250>cp1252", "iso8859_2>cp1252")}
 # Chains that few words among clean ones can tell: the telling ones, and those into another alphabet.
 _TELLING_RUNS = [c for c in CHAINS if not c.startswith("utf8") and (c in _TELLING or c.startswith(("koi8_r", "cp866", "cp1251")))]
+_TELLING_PLACES = [(c, _NAMES.index(c)) for c in _TELLING_RUNS]
 LOST = "lost bytes"
 
 #: Fitted on besides the corpus, so that small corpora know these languages too.
@@ -343,6 +344,7 @@ class Detector:
 
     def __init__(self, model: Model, memory: int = 200_000) -> None:
         self.model, self.memory, self.seen = model, memory, {}
+        self.alone: dict[str, str | None] = {}
 
     def score(self, token: str) -> np.ndarray:
         held = self.seen.get(token)
@@ -394,6 +396,8 @@ class Detector:
             total = total + self.score(t)
         best: tuple[float, str] | None = None
         least = total[0] + MARGIN
+        if total.max() < least:
+            return None
         for k in np.argsort(-total).tolist():
             if k == 0 or total[k] < least:
                 break
@@ -412,6 +416,15 @@ class Detector:
                     best = gain, chain
         return best and best[1]
 
+    def chain_of_token(self, token: str) -> str | None:
+        """``chain_of_tokens`` of one token, remembered."""
+        if token in self.alone:
+            return self.alone[token]
+        if len(self.alone) >= self.memory:
+            self.alone.clear()
+        chain = self.alone[token] = self.chain_of_tokens([token])
+        return chain
+
     def chain_of_line(self, line: str) -> str | None:
         """The chain of a line or, failing that, of one of its tokens or of a run of garbled ones."""
         tokens = tokens_of(line)
@@ -420,7 +433,7 @@ class Detector:
         chain = self.chain_of_tokens(tokens)
         if chain is None and len(tokens) > 1:
             for t in tokens:
-                if len(t) > 1 and (c := self.chain_of_tokens([t])) is not None and c.startswith("utf8"):
+                if len(t) > 1 and (c := self.chain_of_token(t)) is not None and c.startswith("utf8"):
                     return c
             return self.chain_of_runs(tokens)
         return chain
@@ -429,9 +442,12 @@ class Detector:
         """The single-byte chain that garbled some adjacent tokens among clean ones, by the evidence asked of a line."""
         scores = np.array([self.score(t) for t in tokens])
         best: tuple[float, str] | None = None
-        for name in _TELLING_RUNS:
-            k = _NAMES.index(name)
-            likelier = scores[:, k] > scores[:, 0]
+        ahead = scores > scores[:, :1]
+        seen = ahead.any(axis=0).tolist()
+        for name, k in _TELLING_PLACES:
+            if not seen[k]:
+                continue
+            likelier = ahead[:, k].tolist()
             start = 0
             while start < len(tokens):
                 end = start
