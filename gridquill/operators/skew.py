@@ -139,27 +139,21 @@ def span_summary(df: DataFrame, entity: str, labels: Sequence[str], start: str,
     pieces = pieces.select(*kept, "n", "lo", "hi", *_merge("s0", "e0"))
 
     stacked = mark_heavy(pieces.select(F.inline(F.array(*kinds)), "n", "lo", "hi", "ss", "es"), ["kind", "key"], heavy)
-    # A light key's piece stays one row; a heavy key's is a row per interval, in the slice it starts in, totals with the first.
-    none, nothing = F.lit(None).cast("long"), F.lit(None).cast("array<bigint>")
-    slice_of = lambda x: F.floor(x / slice_ms).alias("slice")
-    first_s, first_e = F.get("ss", F.lit(0)), F.get("es", F.lit(0))
-    single = F.array(F.struct(F.when(F.col("_heavy"), slice_of(first_s)).alias("slice"), "n", "lo", "hi", first_s.alias("s"), first_e.alias("e"),
-                              nothing.alias("ss"), nothing.alias("es")))
-    whole = F.array(F.struct(none.alias("slice"), "n", "lo", "hi", none.alias("s"), none.alias("e"), F.col("ss").alias("ss"), F.col("es").alias("es")))
-    intervals = F.transform("ss", lambda x, i: F.struct(
-        slice_of(x), F.when(i == 0, F.col("n")).otherwise(F.lit(0)).alias("n"), F.when(i == 0, F.col("lo")).alias("lo"), F.when(i == 0, F.col("hi")).alias("hi"),
-        x.alias("s"), F.get("es", i).alias("e"), nothing.alias("ss"), nothing.alias("es")))
-    parts = stacked.select("kind", "key", "_heavy", F.when(F.col("_heavy"), F.spark_partition_id()).alias("task"),
-                           F.inline(F.when(F.size("ss") <= 1, single).when(F.col("_heavy"), intervals).otherwise(whole)))
-    every = lambda one, several: F.sort_array(F.concat(F.collect_list(one), F.flatten(F.collect_list(several))))
     sums = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    met = parts.groupBy("kind", "key", "slice", "task").agg(
-        F.max("_heavy").alias("cut"), *sums, every("s", "ss").alias("s0"), every("e", "es").alias("e0"))
+    gathered = lambda c: F.sort_array(F.flatten(F.collect_list(c)))
+    light = stacked.where("not _heavy").groupBy("kind", "key").agg(*sums, gathered("ss").alias("s0"), gathered("es").alias("e0"))
+    light = light.select("kind", "key", "n", "lo", "hi", I.covered_length(F.col("s0"), F.col("e0")).alias("covered"))
 
-    # Both branches read one shuffle: "cut" is an aggregate, so the filters stay above it.
-    light = met.where("not cut").select("kind", "key", "n", "lo", "hi", I.covered_length(F.col("s0"), F.col("e0")).alias("covered"))
-    by_slice = met.where("cut").select("kind", "key", "slice", "n", "lo", "hi", *_merge("s0", "e0")).groupBy("kind", "key", "slice").agg(
-        *sums, F.sort_array(F.flatten(F.collect_list("ss"))).alias("s0"), F.sort_array(F.flatten(F.collect_list("es"))).alias("e0"))
+    # A heavy key's piece is a row per interval, in the slice it starts in; its totals go with the first, or with none.
+    none = F.lit(None).cast("long")
+    intervals = F.transform("ss", lambda x, i: F.struct(
+        F.floor(x / slice_ms).alias("slice"), F.when(i == 0, F.col("n")).otherwise(F.lit(0)).alias("n"), F.when(i == 0, F.col("lo")).alias("lo"),
+        F.when(i == 0, F.col("hi")).alias("hi"), x.alias("s"), F.get("es", i).alias("e")))
+    bare = F.array(F.struct(none.alias("slice"), "n", "lo", "hi", none.alias("s"), none.alias("e")))
+    parts = stacked.where("_heavy").select("kind", "key", F.inline(F.when(F.size("ss") > 0, intervals).otherwise(bare))).withColumn("task", F.spark_partition_id())
+    by_task = parts.groupBy("kind", "key", "slice", "task").agg(*sums, I.sorted_bounds(F.col("s")).alias("s0"), I.sorted_bounds(F.col("e")).alias("e0"))
+    by_slice = by_task.select("kind", "key", "slice", "n", "lo", "hi", *_merge("s0", "e0")).groupBy("kind", "key", "slice").agg(
+        *sums, gathered("ss").alias("s0"), gathered("es").alias("e0"))
     periods = by_slice.select("kind", "key", "slice", "n", "lo", "hi", *_merge("s0", "e0"))
     # a slice's periods cover what they have beyond the latest end of earlier slices; a few rows per heavy key
     before = Window.partitionBy("kind", "key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
